@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import documents, id_text, map_texts
+from rivulet.llm.common import documents, id_text, map_texts, slices
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -28,6 +29,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What may be a key: 16 characters or more with a digit, an upper-case letter after the first, or a mark inside.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Words that ordinary identifiers are made of.
+_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,14}(?![A-Za-z0-9])")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
@@ -68,13 +71,33 @@ def ordinary_samples(words: list[str], seed: int = 11) -> list[str]:
     return out
 
 
+def smallest_words(texts: DataFrame, most: int) -> list[str]:
+    """The `most` distinct words of all texts with the smallest hashes (CRC-32, then the word). Each task keeps that many of
+    its own and sends no more, and so what meets is bounded by tasks, and the result by `most`, whatever the input's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, int] = {}
+        bound = 1 << 32
+        for batch in batches:
+            for part in slices(batch) if batch.num_rows else ():
+                for text in part.column("text").to_pylist():
+                    for w in set(_WORD.findall(text)):
+                        if w not in kept and (h := zlib.crc32(w.encode())) <= bound:
+                            kept[w] = h
+                    if len(kept) > 2 * most:
+                        kept = dict(sorted(kept.items(), key=lambda x: (x[1], x[0]))[:most])
+                        bound = max(kept.values())
+        own = sorted((h, w) for w, h in kept.items())[:most]
+        if own:
+            yield pa.RecordBatch.from_pydict({"h": pa.array([h for h, _ in own], pa.int64()), "w": [w for _, w in own]})
+
+    found = id_text(texts).select("text").mapInArrow(run, "h long, w string").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
+    return sorted(r["w"] for r in found.orderBy("h", "w").limit(most).collect())
+
+
 def train(docs: DataFrame, sample_words: int = SAMPLE_WORDS) -> np.ndarray:
-    """The matrix of log-likelihood ratios. The words are sample_words distinct ones of the whole corpus at most, smallest
-    hash first: one bounded list, whatever the input's size."""
-    words = id_text(docs).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,14}(?![A-Za-z0-9])"), F.lit(0)))).alias("w"))
-    picked = words.withColumn("h", F.xxhash64("w")).where(F.expr(f"pmod(h, 4096) < 64")).groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).orderBy("h", "w").limit(sample_words)
-    ordinary = ordinary_samples(sorted(r["w"] for r in picked.collect()))
-    return chain(random_samples(SAMPLE_RANDOM)) - chain(ordinary)
+    """The matrix of log-likelihood ratios; ordinary identifiers come from sample_words distinct words of the whole corpus."""
+    return chain(random_samples(SAMPLE_RANDOM)) - chain(ordinary_samples(smallest_words(docs, sample_words)))
 
 
 def llr(model: np.ndarray, s: str) -> float:
