@@ -40,6 +40,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A group that holds a thousandth of all rows or more is hot. There are a thousand of them at most, so they can be broadcast.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows with the columns of groups, one row for each value of `on` (not null) with its number of rows in `size`.
+
+    Rows of hot groups meet theirs by broadcast where they are; the others are shuffled, and no value of them is frequent."""
+    groups = cut(groups, "groups")
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = groups.where(F.col(size) * HOT_SHARE >= max(total, HOT_SHARE))  # HOT_SHARE rows at most
+    cold = groups.where(F.col(size) * HOT_SHARE < max(total, HOT_SHARE))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
 def crc_mod(doc_id: object, mod: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % mod
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, documents, id_text
+from rivulet.llm.common import cut, documents, id_text, join_groups
 
 MIN_CHARS, MAX_CHARS = 1024, 8192
 #: A chunk ends after this (about one place in 150 of European prose) or at its longest, or with the text.
@@ -46,9 +46,9 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id (largest doc_id of its group), group_size, kept, text_sha256."""
-    listed = recipes(docs).select("doc_id", "text_sha256", F.sha2(F.concat_ws(",", "recipe"), 256).alias("recipe"))
+    listed = cut(recipes(docs).select("doc_id", "text_sha256", F.sha2(F.concat_ws(",", "recipe"), 256).alias("recipe")), "listed")
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    return join_groups(listed, groups, ["recipe"], "group_size").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, documents, id_text, map_texts, mix, shingle_hashes, slices, text_bytes, word_hashes
+from rivulet.llm.common import cut, documents, id_text, join_groups, map_texts, mix, shingle_hashes, slices, text_bytes, word_hashes
 
 #: Two sets link at 100 * |intersection| >= PERCENT * |union|.
 PERCENT, WORDS = 80, 5
@@ -168,8 +168,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = id_text(docs)
     level = levels(sketch(rows))
     sig = cut(signatures(rows, level), "signatures")
-    classes = sig.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = cut(sig.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    plain = sig.select("doc_id", "n", "d1", "d2")
+    classes = plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    grouped = join_groups(plain.where("n > 0"), classes, ["n", "d1", "d2"], "copies").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    member = cut(grouped.unionByName(plain.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "classes")
     reps = member.where("n > 0 and doc_id = rep").select("doc_id").distinct()
     one = sig.join(reps, "doc_id", "left_semi")
 
