@@ -22,6 +22,9 @@ from rivulet.llm.common import documents, id_text, map_texts
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
+_MARK = re.compile(r"[^\w\s]|_")
+#: What the rules below the marks' need at least: a symbol, two capitals in a row, a character beyond Latin-1, or a word of theirs.
+_SUSPECT = re.compile(r"[#*$%&|<>»©]|[A-ZÀ-Þ][\W\d_]*[A-ZÀ-Þ]|[^\x00-ÿ]|(?i:\b(?:home|menu|skip|next|previous|back|read|click|share|log|login|sign|subscribe|rights|terms|policy|cookies?|copyright|lorem|javascript|powered|licensed)\b)")
 #: Lines that open or close with these are page furniture.
 _NAVIGATION = re.compile(r"^\s*(?:home|menu|skip to|next|previous|back to top|read more|click here|share this|log ?in|sign (?:in|up)|subscribe)\b.{0,60}$|(?: [|>»] .*){2,}", re.IGNORECASE)
 _BOILERPLATE = re.compile(r"\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|copyright (?:©|\(c\))|lorem ipsum|javascript (?:is )?(?:disabled|required)|powered by)\b|licensed under the", re.IGNORECASE)
@@ -32,7 +35,8 @@ class Rules:
     """Limits of the line rules and of the verdict."""
 
     symbol_share: float = 0.10  #: symbols `#*$%&|<>` per character of a line beyond which it fails
-    mark_share: float = 0.25  #: other punctuation per character beyond which it fails
+    mark_share: float = 0.25  #: punctuation per character beyond which it fails,
+    least_marks: int = 3  #: with as many marks at least, so that a short sentence stays
     shouted_share: float = 0.6  #: upper-case letters per letter beyond which a line of ten letters or more fails
     lost_share: float = 0.5  #: share of the word characters in removed lines at which the document goes
     min_words: int = 50
@@ -41,21 +45,19 @@ class Rules:
 
 def line_fails(line: str, rules: Rules) -> bool:
     """Whether a line that has a word is noise."""
-    n = len(line)
-    letters = sum(map(str.isalpha, line))
-    if len(_SYMBOL.findall(line)) > rules.symbol_share * n:
+    n, marks = len(line), len(_MARK.findall(line))
+    if marks >= rules.least_marks and marks > rules.mark_share * n:
         return True
-    if n - letters - sum(map(str.isdigit, line)) - sum(map(str.isspace, line)) > rules.mark_share * n:
+    if not _SUSPECT.search(line):
+        return False
+    if len(_SYMBOL.findall(line)) > rules.symbol_share * n:
         return True
+    letters = sum(map(str.isalpha, line))
     if letters >= 10 and sum(map(str.isupper, line)) > rules.shouted_share * letters:
         return True
     return bool(_NAVIGATION.search(line) or _BOILERPLATE.search(line))
 
 
-#: Lines of plain letters, spaces and sparse usual marks can only fail by navigation or boilerplate words.
-_SUSPECT = re.compile(r"[#*$%&|<>»©!-+/:-@\[-`{-~]|[A-ZÀ-ÞŒ]{3}|[^\x00-ſ]|(?i:\b(?:home|menu|skip|next|previous|back|read|click|share|log|sign|subscribe|rights|terms|policy|cookie|cookies|copyright|lorem|javascript|powered|licensed)\b)")
-
-
 def repeated_words(words: list[str]) -> int:
     """Words inside 3-word windows that occur twice or more."""
     n = len(words) - 2
@@ -90,7 +92,7 @@ def judge(text: str, rules: Rules) -> tuple[int, int, int, int, int, bool, bool,
             continue
         dups += line in seen
         seen.add(line)
-        if _SUSPECT.search(line) and line_fails(line, rules):
+        if line_fails(line, rules):
             lost += sum(map(len, _WORD.findall(line)))
         else:
             good.append(line)
