@@ -1,0 +1,52 @@
+import hashlib
+import random
+import re
+
+from rivulet.llm import secrets as S
+
+
+def brute(text):
+    out = []
+    for m in re.finditer(r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(out)
+
+
+def test_base(docs, edges, nothing):
+    for df in (docs, edges):
+        found = S.scan_secrets(df).collect()
+        want = sorted(((r["doc_id"], *(sum(k == x for _, k, _ in b) for x in range(3)), hashlib.sha256(",".join(f"{S.KINDS[k]}:{x}:{y}" for x, k, y in b).encode()).hexdigest()) for r in df.collect() for b in [brute(r["text"] or "")]), key=str)
+        assert sorted(((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found), key=str) == want
+    assert S.scan_secrets(nothing).collect() == [] and S.redact_secrets(nothing).collect() == []
+
+
+def test_markov_finds_random_strings_only(spark, docs):
+    model = S.train(docs)
+    rng = random.Random(5)
+    alphabet = S._ALPHABET[:62]
+    random_ones = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(200)]
+    found = sum(bool(S.markov_spans(f"see {x} here", [], model)) for x in random_ones)
+    words = sorted({w.lower() for r in docs.collect() for w in re.findall(r"[A-Za-z]{4,9}", r["text"] or "")})
+    names = ["_".join(rng.choice(words) for _ in range(4)) for _ in range(200)] + ["".join(rng.choice(words).title() for _ in range(4)) for _ in range(200)]
+    wrong = sum(bool(S.markov_spans(f"see {x} here", [], model)) for x in names)
+    assert found >= 190 and wrong <= 12
+
+
+def test_redaction(spark, edges):
+    out = {r["doc_id"]: r for r in S.redact_secrets(edges).collect()}
+    assert out[12]["text"].startswith("[SECRET]") and "04dbebab" not in out[12]["text"] and "AKIA" not in out[12]["text"] and "abcdef" not in out[12]["text"]
+    assert out[12]["n_chars"] == len(out[12]["text"])
+    assert S.redact_secrets(edges).columns == edges.columns
+    assert out[6]["text"] == edges.where("doc_id = 6").first()["text"]
+
+
+def test_sample_is_of_all_texts(spark, docs):
+    """The words of smallest hash are the same however the rows are spread."""
+    import zlib
+
+    every = {w for r in docs.collect() for w in S._WORD.findall(r["text"] or "")}
+    want = sorted(sorted(every, key=lambda w: (zlib.crc32(w.encode()), w))[:300])
+    assert S.smallest_words(docs, 300) == want == S.smallest_words(docs.repartition(13), 300)
