@@ -52,15 +52,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were."""
-    found = cut(exact_dedup(docs), "copies")
-    drop = found.where("not kept").select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha")).distinct()
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    left = docs.withColumn("_sha", text).join(drop, F.expr("doc_id <=> _drop_id") & (F.col("_sha") == F.col("_drop_sha")), "left_anti")
-    # a doc_id that stays can still stand in several rows with the same text
-    again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("_again_id"), F.col("text_sha256").alias("_again_sha"))
-    on = F.expr("doc_id <=> _again_id") & (F.col("_sha") == F.col("_again_sha"))
-    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(["doc_id", "_sha"])).select(*docs.columns)
+    """docs with one row of each group of equal texts, all columns as they were.
+
+    Ids of which no row stays are dropped by id alone, so that no text takes part in that join's other side, and texts are
+    moved once at most. Only ids that keep a row and stand in several, and null ids, are told apart by text."""
+    found = cut(exact_dedup(docs), "copies").select("doc_id", "kept", F.col("text_sha256").alias("sha"))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays"))
+    marked = cut(ids.where("not stays or n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.expr("stays and (n > 1 or doc_id is null)").alias("odd")), "marked")
+    left = docs.join(marked.select("_id"), F.expr("cast(doc_id as long) <=> _id"), "left_anti")
+    odd = marked.where("odd").select("_id")
+    if not odd.take(1):
+        return left
+    stay = found.where("kept").join(odd, F.expr("doc_id <=> _id")).select("_id", F.col("sha").alias("_stays")).distinct()
+    several = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(stay, F.expr("cast(doc_id as long) <=> _id and _sha = _stays"), "left_semi")
+    return left.unionByName(several.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
