@@ -5,10 +5,12 @@ tiles: those that share a rare shingle (or a min-hash) and whose sizes lie in on
 bitmaps are compared first: sets that differ in d shingles differ in at most d bits, so the bit count bounds the overlap
 from above, and only pairs that could reach the threshold go on. Those are intersected exactly, from their texts.
 
-Two rounds keep every link that matters without listing all pairs of a group. Round 1 links each document with the first
-one of its min-hash tiles; verified links form components. Round 2 is complete: it indexes the prefix of every set (the
-shingles of which any set within the threshold must share one, common shingles last), and looks at tiles that still hold
-two components. Pairs within a component need no check, as only reachability is asked for.
+Rounds keep every link that matters without listing all pairs of a group, as only reachability is asked for. The first
+links each document with the first one of its min-hash tiles; verified links form components. Then the prefix of every set
+is indexed (the shingles of which any set within the threshold must share one, common shingles last), and only tiles that
+hold two components are looked at. Hub rounds link each of their documents with one document that each tile draws, so their
+pairs grow with the rows; they join what belongs together. The last round is complete: it compares all pairs of different
+components that are left in a tile and a band.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing; a text of fewer words
 than a shingle is one shingle; rows that repeat a doc_id are one node; a row with a null doc_id gets the smallest doc_id of
@@ -22,13 +24,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import cut, documents, id_text, join_groups, map_texts, mix, shingle_hashes, slices, text_bytes, word_hashes
 
 #: Two sets link at 100 * |intersection| >= PERCENT * |union|.
 PERCENT, WORDS = 80, 5
+#: Rounds that compare each document of a tile with one other only, before all pairs that are left.
+HUB_ROUNDS = 2
 #: Counters of the frequency sketch: bounded, 4 MB on the driver and in each task.
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 13
 #: Min-hashes of round 1.
@@ -113,11 +117,14 @@ def may_link(a: str, b: str) -> str:
     return f"if({sizes}, cast({na} + {nb} as long) * {100 - PERCENT} >= cast({100 + PERCENT} as long) * {bits}, false)"
 
 
+def low_band(n: Column) -> Column:
+    # a band is a little wider than the sizes' largest ratio, so that rounding can't set a pair two bands apart
+    return F.floor(F.log(n.cast("double")) / float(np.log(1.0001 * 100 / PERCENT))).cast("int")
+
+
 def banded(n: Column) -> Column:
     """The size band of n and the next: sets within the threshold share one of them."""
-    # a band is a little wider than the sizes' largest ratio, so that rounding can't set a pair two bands apart
-    band = F.floor(F.log(n.cast("double")) / float(np.log(1.0001 * 100 / PERCENT))).cast("int")
-    return F.explode(F.array(band, band + 1))
+    return F.explode(F.array(low_band(n), low_band(n) + 1))
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -163,6 +170,39 @@ def components(edges: DataFrame) -> DataFrame:
         now, told = new, count
 
 
+def merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """root (doc_id, root) after verified links between ids of any components."""
+    of = lambda c: root.select(F.col("doc_id").alias(c), F.col("root").alias(f"{c}_root"))
+    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    top = components(across)
+    whole = root.join(top.select(F.col("doc_id").alias("root"), F.col("root").alias("top")), "root", "left").select("doc_id", F.coalesce("top", "root").alias("root"))
+    return cut(whole.unionByName(top.join(root, "doc_id", "left_anti")), "roots")
+
+
+def mixed_tiles(tiles: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, comp) of the keys that hold two components. One shuffle, and one key is buffered with spill."""
+    w = Window.partitionBy("key")
+    return tiles.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").select("key", "doc_id", "comp")
+
+
+def hub_pairs(tiles: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each document of a tile with the one that the tile draws, if of another component and the bitmaps allow it."""
+    drawn = F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), "doc_id", "comp")).alias("hub")
+    pairs = tiles.join(tiles.groupBy("key").agg(drawn), "key").where("comp <> hub.comp").select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+    side = lambda x: bits.select(F.col("doc_id").alias(x), F.struct("n", "bits").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("sa.", "sb.")).select("a", "b").distinct()
+
+
+def all_pairs(tiles: DataFrame, bits: DataFrame) -> DataFrame:
+    """(a, b): all documents of different components that share a tile and a band and whose bitmaps allow it."""
+    # a pair that shares both bands is taken in the higher of their lower ones, once
+    many = tiles.join(bits, "doc_id").withColumn("low", low_band(F.col("n"))).withColumn("band", F.explode(F.array(F.col("low"), F.col("low") + 1)))
+    side = lambda x: many.select("key", "band", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "comp", "low", "n", "bits")])
+    x, y = side("x"), side("y")
+    found = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr("x_comp < y_comp") & (x["band"] == F.greatest("x_low", "y_low")) & F.expr(may_link("x_", "y_")))
+    return found.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     rows = id_text(docs)
@@ -172,37 +212,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     grouped = join_groups(plain.where("n > 0"), classes, ["n", "d1", "d2"], "copies").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     member = cut(grouped.unionByName(plain.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "classes")
-    reps = member.where("n > 0 and doc_id = rep").select("doc_id").distinct()
-    one = sig.join(reps, "doc_id", "left_semi")
+    gone = cut(member.where("n > 0").groupBy("doc_id").agg(F.max(F.expr("doc_id = rep")).alias("stays")).where("not stays").select("doc_id"), "copies")
+    one = sig.where("n > 0 and doc_id is not null").join(gone, "doc_id", "left_anti")
+    bits = one.select("doc_id", "n", "bits")
 
-    # round 1: each document with the first one of its tiles
+    # first round: each document with the first one of its min-hash tiles
     tile = one.select("doc_id", "n", "bits", F.explode("mins").alias("m")).select("doc_id", "n", "bits", "m", banded(F.col("n")).alias("band"))
     hub = tile.groupBy("m", "band").agg(F.min(F.struct("doc_id", "n", "bits")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "band", "hub")
     near = tile.join(hub, ["m", "band"]).where("doc_id > hub.doc_id").where(may_link("", "hub."))
     first = cut(near.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
     root = components(verified(first, rows))
 
-    # round 2: tiles by prefix shingle that hold two components
-    placed = one.select("doc_id", "n", "keys").join(root, "doc_id", "left").select("doc_id", "n", "keys", F.coalesce("root", "doc_id").alias("comp"))
-    keyed = placed.select("doc_id", "n", "comp", F.explode("keys").alias("key"))
-    who = F.struct("comp", "doc_id", "n")
-    mixed = cut(keyed.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.count(F.lit(1)).alias("c")).where("lo.comp < hi.comp"), "tiles")
-    twos = mixed.where("c = 2").where(f"100 * least(lo.n, hi.n) >= {PERCENT} * greatest(lo.n, hi.n)").select(F.col("lo.doc_id").alias("a"), F.col("hi.doc_id").alias("b")).distinct()
-    bits = one.select("doc_id", "n", "bits")
-    side = lambda x: bits.select(F.col("doc_id").alias(x), F.struct("n", "bits").alias(f"s{x}"))
-    twos = twos.join(side("a"), "a").join(side("b"), "b").where(may_link("sa.", "sb.")).select("a", "b")
-    many = keyed.join(mixed.where("c > 2").select("key"), "key", "left_semi").select("key", "doc_id", "comp").join(bits, "doc_id").withColumn("band", banded(F.col("n")))
-    x = many.select("key", "band", "comp", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "bits")])
-    y = many.select("key", "band", F.col("comp").alias("comp_y"), *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "bits")])
-    more = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr("comp < comp_y") & F.expr(may_link("x_", "y_"))).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
-    second = cut(twos.unionByName(more).distinct(), "candidates")
-    links = verified(second, rows)
-    of = lambda c: root.select(F.col("doc_id").alias(c), F.col("root").alias(f"{c}_root"))
-    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    top = components(across)
-    whole = root.join(top.select(F.col("doc_id").alias("root"), F.col("root").alias("top")), "root", "left").select("doc_id", F.coalesce("top", "root").alias("root"))
-    alone = top.join(root, "doc_id", "left_anti")
-    end = whole.unionByName(alone).select(F.col("doc_id").alias("rep"), "root")
+    # prefix tiles that hold two components: hub rounds, then all pairs that are left
+    with_comp = lambda df: df.join(root, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
+    tiles = cut(mixed_tiles(with_comp(one.select("doc_id", "keys")).select(F.explode("keys").alias("key"), "doc_id", "comp")), "tiles")
+    for turn in range(HUB_ROUNDS):
+        pairs = cut(hub_pairs(tiles, bits, turn), "candidates")
+        if not pairs.take(1):
+            break
+        root = merged(root, verified(pairs, rows))
+        tiles = cut(mixed_tiles(with_comp(tiles.drop("comp")).select("key", "doc_id", "comp")), "tiles")
+    root = merged(root, verified(cut(all_pairs(tiles, bits), "candidates"), rows))
+    end = root.select(F.col("doc_id").alias("rep"), "root")
     return member.join(end, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
