@@ -70,6 +70,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows in this session, if it has Spark's default: 10,000 whole texts take hundreds of MB."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """df's batches through make()(part) -> columns; make runs once a task. Only one part is held at a time."""
     fields = [(f.name, f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema.fields]
@@ -86,6 +92,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(out[f.name], f.type) for f in target], schema=target)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -185,12 +185,17 @@ def mixed_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").select("key", "doc_id", "comp")
 
 
+def allowed(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow a link."""
+    side = lambda x: bits.select(F.col("doc_id").alias(x), F.struct("n", "bits").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("sa.", "sb.")).select("a", "b").distinct()
+
+
 def hub_pairs(tiles: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
     """(a, b): each document of a tile with the one that the tile draws, if of another component and the bitmaps allow it."""
     drawn = F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), "doc_id", "comp")).alias("hub")
     pairs = tiles.join(tiles.groupBy("key").agg(drawn), "key").where("comp <> hub.comp").select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
-    side = lambda x: bits.select(F.col("doc_id").alias(x), F.struct("n", "bits").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("sa.", "sb.")).select("a", "b").distinct()
+    return allowed(pairs, bits)
 
 
 def all_pairs(tiles: DataFrame, bits: DataFrame) -> DataFrame:
@@ -217,10 +222,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bits = one.select("doc_id", "n", "bits")
 
     # first round: each document with the first one of its min-hash tiles
-    tile = one.select("doc_id", "n", "bits", F.explode("mins").alias("m")).select("doc_id", "n", "bits", "m", banded(F.col("n")).alias("band"))
-    hub = tile.groupBy("m", "band").agg(F.min(F.struct("doc_id", "n", "bits")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "band", "hub")
-    near = tile.join(hub, ["m", "band"]).where("doc_id > hub.doc_id").where(may_link("", "hub."))
-    first = cut(near.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
+    tile = one.select("doc_id", "n", F.explode("mins").alias("m")).select("doc_id", "m", banded(F.col("n")).alias("band"))
+    hub = tile.groupBy("m", "band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "band", "a")
+    near = tile.join(hub, ["m", "band"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    first = cut(allowed(near, bits), "candidates")
     root = components(verified(first, rows))
 
     # prefix tiles that hold two components: hub rounds, then all pairs that are left
