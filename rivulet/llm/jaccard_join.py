@@ -186,9 +186,12 @@ def mixed_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def allowed(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow a link."""
+    """The pairs (a, b) whose sizes and bitmaps allow a link. Sizes alone first, so that few pairs are moved with bitmaps."""
+    size = lambda x: bits.groupBy(F.col("doc_id").alias(x)).agg(F.min("n").alias(f"low_{x}"), F.max("n").alias(f"high_{x}"))
     side = lambda x: bits.select(F.col("doc_id").alias(x), F.struct("n", "bits").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("sa.", "sb.")).select("a", "b").distinct()
+    reach = f"100 * high_a >= {PERCENT} * low_b and 100 * high_b >= {PERCENT} * low_a"
+    near = pairs.join(size("a"), "a").join(size("b"), "b").where(reach).select("a", "b")
+    return near.join(side("b"), "b").join(side("a"), "a").where(may_link("sa.", "sb.")).select("a", "b").distinct()
 
 
 def hub_pairs(tiles: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
