@@ -33,6 +33,8 @@ from rivulet.llm.common import cut, documents, id_text, join_groups, map_texts,
 PERCENT, WORDS = 80, 5
 #: Rounds that compare each document of a tile with one other only, before all pairs that are left.
 HUB_ROUNDS = 2
+#: Bands of the complete round are so many steps of the sizes' largest ratio wide; one document in so many is in two bands.
+BAND_STEPS = 3
 #: Counters of the frequency sketch: bounded, 4 MB on the driver and in each task.
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 13
 #: Min-hashes of round 1.
@@ -117,14 +119,16 @@ def may_link(a: str, b: str) -> str:
     return f"if({sizes}, cast({na} + {nb} as long) * {100 - PERCENT} >= cast({100 + PERCENT} as long) * {bits}, false)"
 
 
-def low_band(n: Column) -> Column:
-    # a band is a little wider than the sizes' largest ratio, so that rounding can't set a pair two bands apart
-    return F.floor(F.log(n.cast("double")) / float(np.log(1.0001 * 100 / PERCENT))).cast("int")
+def band_of(n: Column, steps: int = 1, ahead: int = 0) -> Column:
+    """The size band of n, or of a size one largest ratio ahead; bands are `steps` such ratios wide."""
+    # a step is a little wider than the sizes' largest ratio, so that rounding can't set a pair two steps apart
+    place = F.log(n.cast("double")) / float(np.log(1.0001 * 100 / PERCENT))
+    return F.floor((place + ahead) / steps).cast("int")
 
 
-def banded(n: Column) -> Column:
-    """The size band of n and the next: sets within the threshold share one of them."""
-    return F.explode(F.array(low_band(n), low_band(n) + 1))
+def banded(n: Column, steps: int = 1) -> Column:
+    """The bands of n and of the largest size that n may link with: the smaller of two sets is in the larger one's band."""
+    return F.explode(F.array_distinct(F.array(band_of(n, steps), band_of(n, steps, 1))))
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -203,11 +207,11 @@ def hub_pairs(tiles: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
 
 def all_pairs(tiles: DataFrame, bits: DataFrame) -> DataFrame:
     """(a, b): all documents of different components that share a tile and a band and whose bitmaps allow it."""
-    # a pair that shares both bands is taken in the higher of their lower ones, once
-    many = tiles.join(bits, "doc_id").withColumn("low", low_band(F.col("n"))).withColumn("band", F.explode(F.array(F.col("low"), F.col("low") + 1)))
-    side = lambda x: many.select("key", "band", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "comp", "low", "n", "bits")])
+    # a pair that shares two bands is taken in the larger set's own one, once
+    many = tiles.join(bits, "doc_id").withColumn("own", band_of(F.col("n"), BAND_STEPS)).withColumn("band", banded(F.col("n"), BAND_STEPS))
+    side = lambda x: many.select("key", "band", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "comp", "own", "n", "bits")])
     x, y = side("x"), side("y")
-    found = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr("x_comp < y_comp") & (x["band"] == F.greatest("x_low", "y_low")) & F.expr(may_link("x_", "y_")))
+    found = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr("x_comp < y_comp") & (x["band"] == F.greatest("x_own", "y_own")) & F.expr(may_link("x_", "y_")))
     return found.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
 
 
