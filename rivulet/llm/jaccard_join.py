@@ -31,8 +31,9 @@ from rivulet.llm.common import cut, documents, id_text, join_groups, map_texts,
 
 #: Two sets link at 100 * |intersection| >= PERCENT * |union|.
 PERCENT, WORDS = 80, 5
-#: Rounds that compare each document of a tile with one other only, before all pairs that are left.
-HUB_ROUNDS = 2
+#: Rounds that compare each document of a tile with one other only, before all pairs that are left: so many at most, and
+#: none after one that has left more than STALLED of the tiles' rows. The last round is complete whatever they do.
+HUB_ROUNDS, STALLED = 2, 0.9
 #: Bands of the complete round are so many steps of the sizes' largest ratio wide; one document in so many is in two bands.
 BAND_STEPS = 3
 #: Counters of the frequency sketch: bounded, 4 MB on the driver and in each task.
@@ -238,12 +239,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # prefix tiles that hold two components: hub rounds, then all pairs that are left
     with_comp = lambda df: df.join(root, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
     tiles = cut(mixed_tiles(with_comp(one.select("doc_id", "keys")).select(F.explode("keys").alias("key"), "doc_id", "comp")), "tiles")
+    left = tiles.count()
     for turn in range(HUB_ROUNDS):
         pairs = cut(hub_pairs(tiles, bits, turn), "candidates")
         if not pairs.take(1):
             break
         root = merged(root, verified(pairs, rows))
         tiles = cut(mixed_tiles(with_comp(tiles.drop("comp")).select("key", "doc_id", "comp")), "tiles")
+        before, left = left, tiles.count()
+        if left > STALLED * before:
+            break
     root = merged(root, verified(cut(all_pairs(tiles, bits), "candidates"), rows))
     end = root.select(F.col("doc_id").alias("rep"), "root")
     return member.join(end, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
