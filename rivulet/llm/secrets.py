@@ -2,8 +2,8 @@
 
 Both models are character bigram chains with add-one smoothing, trained from labelled samples: random strings (drawn from a
 seeded generator over the alphabets that keys use) and ordinary identifiers (words, joined words, file and variable names
-built from a bounded sample of the corpus). A candidate run that no fixed pattern has claimed is a secret if its
-log-likelihood ratio per character and in sum passes the thresholds.
+built from a bounded sample of the corpus). What the fixed patterns leave of a candidate run is a secret if its
+log-likelihood ratio per character and in sum passes the thresholds; if not, so is each stretch of it that passes them.
 
 Defined cases: a null or empty text has no span; spans of different kinds may overlap, spans of kind markov overlap no other;
 repeated rows give repeated results; an empty table gives no row; extra columns are ignored. Offsets are code points.
@@ -28,7 +28,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What may be a key: 16 characters or more with a digit, an upper-case letter after the first, or a mark inside.
+MIN_RUN = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What joins names and keys to a run, and what stands between.
+_MARKS = "/=_-"
+_PART = re.compile(r"[A-Za-z0-9+]{16,}")
 #: Words that ordinary identifiers are made of.
 _WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,14}(?![A-Za-z0-9])")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -39,6 +43,8 @@ _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 SAMPLE_WORDS, SAMPLE_RANDOM = 20_000, 20_000
 #: Mean log-likelihood ratio per character, and its sum, that a secret reaches.
 MIN_MEAN, MIN_SUM = 0.35, 10.0
+#: What a stretch of a run gains over MIN_MEAN in sum at least: as much as a key of MIN_RUN characters.
+MIN_GAIN = MIN_SUM - MIN_MEAN * MIN_RUN
 
 
 def chain(samples: Iterable[str]) -> np.ndarray:
@@ -113,17 +119,81 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def plain(s: str) -> bool:
+    """Runs of one letter case or of digits alone are words and numbers."""
+    return (s[1:].islower() or s.isdigit() or s.isupper()) and s.isalnum() and not any(map(str.isdigit, s)) or s.isdigit()
+
+
+def is_key(model: np.ndarray, s: str) -> bool:
+    return len(s) >= MIN_RUN and not plain(s) and (ratio := llr(model, s)) >= MIN_SUM and ratio >= MIN_MEAN * len(s)
+
+
+def free_parts(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans of base leave of [a, b)."""
+    out = []
+    for x, _, y in base:
+        if x >= b:
+            break
+        if y > a:
+            if x > a:
+                out.append((a, x))
+            a = y
+    return out + [(a, b)] if a < b else out
+
+
+def maximal_stretches(gains: list[float]) -> list[tuple[int, int, float]]:
+    """All disjoint stretches of largest sum (Ruzzo and Tompa), with their sums, in linear time."""
+    kept: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum with it, nearest one that begins lower
+    total = 0.0
+    for i, g in enumerate(gains):
+        first, low = i, total
+        total += g
+        if g <= 0:
+            continue
+        at = len(kept) - 1
+        while True:
+            while at >= 0 and kept[at][2] >= low:
+                at = kept[at][4]
+            if at < 0 or kept[at][3] >= total:
+                break
+            first, _, low, _, before = kept[at]
+            del kept[at:]
+            at = before
+        kept.append((first, i + 1, low, total, at))
+    return [(a, b, high - low) for a, b, low, high, _ in kept]
+
+
+def keys_within(s: str, model: np.ndarray) -> list[tuple[int, int]]:
+    """Where keys stand in a run: the whole run; or else its parts between marks, and the stretches that gain most over
+    MIN_MEAN, as far as the next marks if that is still a key."""
+    if is_key(model, s):
+        return [(0, len(s))]
+    if len(s) <= MIN_RUN:
+        return []
+    found = [m.span() for m in _PART.finditer(s) if is_key(model, m[0])]
+    code = _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
+    gains = model[np.append(len(_ALPHABET), code[:-1]), code] - MIN_MEAN
+    sums = np.cumsum(gains)
+    if (sums - np.minimum.accumulate(np.append(0.0, sums[:-1]))).max() >= MIN_GAIN:
+        for a, b in ((a, b) for a, b, gain in maximal_stretches(gains.tolist()) if gain >= MIN_GAIN):
+            wide = (max(s.rfind(c, 0, a) for c in _MARKS) + 1, min(x if (x := s.find(c, b)) >= 0 else len(s) for c in _MARKS))
+            found += next(([w] for w in (wide, (a, b)) if is_key(model, s[slice(*w)])), [])
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: np.ndarray) -> list[tuple[int, int, int]]:
+    """Keys in what the fixed patterns leave of each candidate run."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        s, (a, b) = m[0], m.span()
-        # runs of one letter case or of digits alone are words and numbers
-        if (s[1:].islower() or s.isdigit() or s.isupper()) and s.isalnum() and not any(map(str.isdigit, s)) or s.isdigit():
-            continue
-        if any(x < b and a < y for x, _, y in base):
-            continue
-        if (ratio := llr(model, s)) >= MIN_SUM and ratio >= MIN_MEAN * len(s):
-            out.append((a, 3, b))
+        for a, b in free_parts(*m.span(), base):
+            if b - a >= MIN_RUN:
+                out += [(a + x, 3, a + y) for x, y in keys_within(text[a:b], model)]
     return out
 
 
