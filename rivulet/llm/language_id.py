@@ -1,11 +1,11 @@
 """Operator 2, language identification by a linear-chain conditional random field over words.
 
 Each word's emission scores sum learned weights of its affixes, character n-grams and lexicon entry; learned transitions link
-neighbours. Forward-backward gives every word's language probabilities, so code-switched text gets both its languages; the
+neighbours. A token of more than PIECE characters (text without spaces) is as many words as it has pieces, with all its n-grams. Forward-backward gives every word's language probabilities, so code-switched text gets both its languages; the
 document's language has the largest mean probability, which is its score.
 
-Training is on a bounded sample of labelled rows (SAMPLE_DOCS windows of SAMPLE_WORDS words, smallest hash of doc_id first),
-some spliced from two languages so that the transitions learn to switch.
+Training is on a bounded sample of labelled rows (SAMPLE_DOCS windows of SAMPLE_WORDS words, shared among the languages, rows
+of smallest hash in each), some spliced from two languages so that the transitions learn to switch.
 
 Defined cases: a null text, and a text without a letter, is `und` with score 0; without labelled rows everything is `und`;
 a null doc_id is neither held out nor learned from; repeated rows give repeated results; an empty table gives no row; extra
@@ -28,24 +28,43 @@ from rivulet.llm.common import documents, id_text, map_texts
 SAMPLE_DOCS, SAMPLE_WORDS = 3000, 80
 BUCKETS, LEXICON_WORDS = 1 << 15, 4000
 CACHE_WORDS = 200_000
+#: Characters of a token that are one place in the chain, at most.
+PIECE = 24
 #: Words in a block of the chain that is handled in step with others.
 BLOCK = 32
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Indices of a lower-cased word's affixes, n-grams and lexicon entry."""
+def features(piece: str, lexicon: dict[str, int]) -> list[int]:
+    """Indices of a lower-cased token's affixes, n-grams and lexicon entry, or of one of its pieces (see `pieces`): those
+    n-grams that begin in it, the prefixes if it is the first and the suffixes if it is the last."""
     crc = zlib.crc32
-    w = f"^{word[:24]}$"
-    out = [crc(w[:k].encode()) % BUCKETS for k in (2, 3, 4)] + [crc(w[-k:].encode(), 1) % BUCKETS for k in (2, 3, 4)]
-    out += [crc(w[i : i + 2].encode(), 2) % BUCKETS for i in range(1, len(w) - 2)]
-    out += [crc(w[i : i + 3].encode(), 3) % BUCKETS for i in range(1, len(w) - 3)]
-    if (at := lexicon.get(word)) is not None:
+    if " " in piece:
+        first, (own, more, after) = piece[0] != " ", piece.lstrip(" ").partition(" ")
+        w, s = f"^{own}" if first else own if more else f"{own}$", own + after
+    else:
+        first, own, more, w, s = True, piece, "", f"^{piece}$", piece
+    out = [crc(w[:k].encode()) % BUCKETS for k in (2, 3, 4)] if first else []
+    out += [crc(w[-k:].encode(), 1) % BUCKETS for k in (2, 3, 4)] if not more else []
+    out += [crc(s[i : i + 2].encode(), 2) % BUCKETS for i in range(min(len(own), len(s) - 1))]
+    out += [crc(s[i : i + 3].encode(), 3) % BUCKETS for i in range(min(len(own), len(s) - 2))]
+    if (at := lexicon.get(piece)) is not None:
         out.append(BUCKETS + at)
     return out
 
 
+def pieces(word: str) -> list[str]:
+    """A token of more than PIECE characters in pieces of nearly equal length, each a place in the chain. A piece that goes on
+    from another begins with a space; one that another follows ends with a space and the next two characters."""
+    n = -(-len(word) // PIECE)
+    if n <= 1:
+        return [word]
+    cuts = [len(word) * i // n for i in range(n + 1)]
+    return [" " * (a > 0) + word[a:b] + (f" {word[b : b + 2]}" if b < len(word) else "") for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def tokens(text: str) -> list[str]:
-    return text.lower().split()
+    words = text.lower().split()
+    return words if max(map(len, words), default=0) <= PIECE else [p for w in words for p in pieces(w)]
 
 
 def _blocks(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,16 +201,48 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = 8, rate: float = 0.3
     return crf
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many of `most` rows each language gives: equal shares, and what small ones leave goes to the others; one at least."""
+    out: dict[str, int] = {}
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = max(1, min(counts[lang], (most - sum(out.values())) // (len(counts) - i)))
+    return out
+
+
+def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[str, list[str]]]:
+    """(lang, words) windows of `most` rows or so: of each language its rows of smallest hash, repeated rows once.
+
+    Only rows below a hash bound of their language are looked at: about half as many again as it gives."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    rows = rows.where("crc32(cast(doc_id as string)) % 5 <> 0 and lang is not null and text is not null and text rlike '\\\\S'").withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
+        return []
+    quota = shares({k: n + n // 5 + 1 for k, n in counts.items()}, most)
+    bounds = docs.sparkSession.createDataFrame([(k, min(1 << 31, int((1.5 * quota[k] + 100) / max(1, n) * (1 << 31)))) for k, n in counts.items()], "lang string, bound long")
+    near = rows.join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("bound")).select("lang", "h", "text")
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        def work(part: pa.RecordBatch) -> dict:
+            out = []
+            for text, h in zip(part.column("text").to_pylist(), part.column("h").to_pylist(), strict=True):
+                words = tokens(text)
+                at = h % max(1, len(words) - SAMPLE_WORDS + 1)
+                out.append("\n".join(words[at : at + SAMPLE_WORDS]))
+            return {"lang": part.column("lang"), "h": part.column("h"), "words": out}
+
+        return work
+
+    found = map_texts(near, "lang string, h long, words string", make).groupBy("lang", "h").agg(F.min("words").alias("words")).collect()
+    own: dict[str, list[tuple[int, int, str]]] = {}
+    for r in found:
+        own.setdefault(r["lang"], []).append((r["h"] % (1 << 31), r["h"], r["words"]))
+    return [(lang, words.split("\n")) for lang in sorted(own) for _, _, words in sorted(own[lang])[: quota[lang]] if words]
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
     """From rows with text, lang and doc_id; None if none is labelled."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    rows = rows.where("crc32(cast(doc_id as string)) % 5 <> 0 and lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
-    picked = rows.select("doc_id", "h").orderBy("h", "doc_id").limit(sample_docs)
-    windows = rows.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")  # sample_docs rows at most
-    words = F.split(F.lower(F.trim("text")), r"\s+")
-    got = windows.withColumn("w", words).select("doc_id", "lang", F.expr(f"slice(w, cast(1 + pmod(h, greatest(1, size(w) - {SAMPLE_WORDS})) as int), {SAMPLE_WORDS})").alias("w")).orderBy("doc_id").limit(2 * sample_docs).collect()
-    samples = [(r["lang"], [w for w in r["w"] if w]) for r in got]
-    samples = [s for s in samples if s[1]]
+    samples = sample(docs, sample_docs)
     return fit(samples) if samples else None
 
 

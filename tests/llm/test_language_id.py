@@ -66,3 +66,41 @@ def test_nothing_held_out_is_learned(spark):
 
     rows = [(i, "alpha beta gamma delta " * 5, "aa") if zlib.crc32(str(i).encode()) % 5 else (i, "uno dos tres cuatro " * 5, "bb") for i in range(200)]
     assert {r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"aa"}
+
+
+def test_long_tokens_are_taken_whole():
+    """Pieces have all n-grams and affixes of a token, once."""
+    from collections import Counter
+    from zlib import crc32
+
+    for n in (1, 2, 3, 23, 24, 25, 48, 49, 50, 200, 1001):
+        word = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(n))
+        w = f"^{word}$"
+        want = [(w[:k], 0) for k in (2, 3, 4)] + [(w[-k:], 1) for k in (2, 3, 4)] + [(word[i : i + 2], 2) for i in range(n - 1)] + [(word[i : i + 3], 3) for i in range(n - 2)]
+        got = [i for p in L.tokens(word) for i in L.features(p, {})]
+        assert Counter(got) == Counter(crc32(x.encode(), k) % L.BUCKETS for x, k in want)
+        assert len(L.tokens(word)) == -(-n // L.PIECE)
+
+
+def test_text_without_spaces(spark):
+    """The language of a text without spaces is that of its most, not of its beginning."""
+    import random
+
+    rng = random.Random(1)
+    text = lambda at, n: "".join(chr(at + rng.randrange(80)) for _ in range(n))
+    rows = [(i, text(0x4E00 if i % 2 else 0x3042, 300), "zh" if i % 2 else "ja") for i in range(400)]
+    crf = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs, _, p, bounds = L.predictor(crf)([text(0x3042, 30) + text(0x4E00, 300), text(0x4E00, 30) + text(0x3042, 300)])
+    assert langs == ["zh", "ja"] and all(bounds[1:] - bounds[:-1] == 14)
+
+
+def test_rare_languages_and_repeated_ids_are_sampled(spark):
+    """A language of 1 in 2000 rows is learned, with one doc_id on most rows, and the sample stays bounded."""
+    rows = [(1 if i % 3 else i, f"alpha beta gamma delta {i}", "aa") for i in range(8000)] + [(1, f"uno dos tres cuatro {i}", "bb") for i in range(4)] + [(1, "same text again", "cc")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = L.sample(docs, 300)
+    count = {k: sum(x == k for x, _ in got) for k in ("aa", "bb", "cc")}
+    assert count["bb"] == 4 and count["cc"] == 1 and 280 <= count["aa"] <= 300
+    assert sorted(got) == sorted(L.sample(docs.repartition(3), 300))
+    crf = L.train(docs)
+    assert L.predictor(crf)(["uno dos tres cuatro", "alpha beta gamma"])[0] == ["bb", "aa"]
