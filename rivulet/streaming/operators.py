@@ -12,8 +12,9 @@ from rivulet.sources.scratch import shared_dir
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or folder as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(f"{path}*")
+    """A Parquet file or folder as a stream. All files that are there make one batch: files have no order of time, and in a
+    later batch whatever is older than the watermark of an earlier one would be dropped."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
