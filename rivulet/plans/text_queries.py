@@ -103,6 +103,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"), (text.find_word(F.col("text"), "the") > 0).alias("has_the"))
 
 
+@query("tokens_all", "select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) as n, regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') as has_the from documents")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`tokens` of every document; word characters are those of ASCII, in Spark and SQL alike."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"), (text.find_word(F.col("text"), "the") > 0).alias("has_the"))
+
+
 @query("similar_words")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -124,6 +131,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("d", binary.digests(F.encode("text", "UTF-8"))).select("doc_id", "d.md5", "d.sha1", "d.sha256", F.base64(head).alias("b64"), F.hex(head).alias("hex"))
 
 
+@query("digests_all", "select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256, base64(encode(text)) as b64, hex(encode(text)) as hex from documents")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`digests` of every document, and its whole text in Base64 and hexadecimal."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("b", F.encode("text", "UTF-8"))
+    plain = F.regexp_replace(F.base64("b"), r"[\r\n]", "")
+    return d.withColumn("d", binary.digests(F.col("b"))).select("doc_id", "d.md5", "d.sha1", "d.sha256", plain.alias("b64"), F.hex("b").alias("hex"))
+
+
 @query("crc32_msb")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
