@@ -274,6 +274,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat.splice(e.where("event_type <> 'error'"), e.where("event_type = 'error' and pid = 1"), _CUT).select("event_id", "cts", "spliced")
 
 
+@query("u3_splice_all", f"with e as (select *, epoch_us(ts) // 1000 as cts from events), o as (select min(cts) as f, max(cts + 10) - min(cts) as len from e where event_type = 'error'), i as (select event_id, cts - f + {_CUT} as cts, true as spliced from e, o where event_type = 'error') select event_id, cts, false as spliced from e, o where event_type <> 'error' and (cts < {_CUT} or cts >= {_CUT} + coalesce(len, 0)) union all select * from i")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events of every stream spliced in."""
+    e = events(spark, sf_dir).withColumn("dur", F.lit(10))
+    return concat.splice(e.where("event_type <> 'error'"), e.where("event_type = 'error'"), _CUT).select("event_id", "cts", "spliced")
+
+
 @query("s2_reorder", "with {P}, d as (select pid, event_id, cts, seq + case when event_id % 2 = 0 then 1 else 0 end as n from p), f as (select *, row_number() over (partition by pid, n order by cts, event_id) as r from d) select event_id, n as place from f where r = 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = event_packets(spark, sf_dir).withColumn("n16", F.expr("(seq + int(event_id % 2 = 0)) % 65536"))

@@ -214,6 +214,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_xml(spark, path, "conv_id long, turn long, role string")
 
 
+@query("xml_payload_round_trip", "select conv_id, turn, role, text as payload, true as intact from conversations")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and their checksums through XML; intact says whether the text read has the checksum read."""
+    path = shared_dir(spark, "xml")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    files.write_xml(c.select("conv_id", "turn", "role", F.col("text").alias("payload")), path)
+    back = files.read_xml(spark, path, "conv_id long, turn long, role string, payload string, crc long")
+    return back.select("conv_id", "turn", "role", "payload", (F.crc32(F.encode("payload", "UTF-8")) == F.col("crc")).alias("intact"))
+
+
 @query("named_files", "select 'u' || user_id % 4 as file, count(*) as n from events group by all")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "named")

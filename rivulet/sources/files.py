@@ -28,15 +28,30 @@ def read_session(spark: SparkSession, path: str, start: int | None = None, end:
     return df if end is None else df.where(F.col("cts") < end)
 
 
+#: Texts that XML cannot carry as they are: control characters and U+FFFE, U+FFFF (not allowed), carriage returns (read as line
+#: feeds), nothing or white space alone (read as null), white space at the ends.
+_NOT_XML = r"[\x00-\x08\x0b-\x1f\uFFFE\uFFFF]|\A\s|\s\z|\A\z"
+
+
 def write_xml(packets: DataFrame, path: str) -> None:
-    """One element per packet, with a checksum of its text payload if there is one."""
+    """One element per packet, with a checksum of its text payload if there is one. A payload that XML cannot carry is written
+    in Base64, as payload64."""
     if "payload" in packets.columns:
-        packets = packets.withColumn("crc", F.crc32(F.col("payload").cast("binary")))
+        data = F.encode("payload", "UTF-8")
+        odd = F.col("payload").rlike(_NOT_XML)
+        coded = F.when(odd, F.concat(F.lit("="), F.base64(data)))
+        packets = packets.withColumn("crc", F.crc32(data)).withColumn("payload64", coded).withColumn("payload", F.when(~odd, F.col("payload")))
     packets.write.mode("overwrite").format("xml").option("rootTag", "packets").option("rowTag", "packet").save(path)
 
 
 def read_xml(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "packet").schema(schema).load(path)
+    """Packets of write_xml; a schema with payload gets it as it was."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    coded = ", payload64 string" if "payload" in names else ""
+    df = spark.read.format("xml").option("rowTag", "packet").schema(schema + coded).load(path)
+    if coded:
+        df = df.withColumn("payload", F.coalesce("payload", F.decode(F.unbase64(F.substring("payload64", 2, 1 << 30)), "UTF-8")))
+    return df.select(*names)
 
 
 def write_named(packets: DataFrame, path: str, name: Column, mode: str = "errorifexists") -> None:
