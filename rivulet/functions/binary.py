@@ -99,28 +99,58 @@ def digests(data: Column) -> Column:
 
 def encrypt_subsamples(data: Column, key: Column, iv: Column, clear: int, pattern: tuple[int, int] = (0, 0), block: int = 16) -> Column:
     """array of struct(clear, cipher) slices: `clear` bytes stay as they are, then pattern = (encrypted, skipped) blocks
-    repeat (all if (0, 0)); whole blocks only are encrypted, each slice by AES in CBC with the sample's vector."""
+    repeat (all if (0, 0)); whole blocks only are encrypted, each slice by AES in CBC with the sample's vector. A cipher is as
+    long as what it stands for: there is no padding and no vector in it."""
     crypt, skip = pattern
-    stride = (crypt + skip) * block if crypt else 1 << 30
     n = F.greatest(F.length(data) - clear, F.lit(0))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(stride))
+    stride = F.lit((crypt + skip) * block) if crypt else F.greatest(n, F.lit(1))
+    most = F.lit(crypt * block) if crypt else n
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), stride)
 
     def one(at: Column) -> Column:
-        span = F.least(F.lit(crypt * block if crypt else 1 << 30), n - at)
+        span = F.least(most, n - at)
         whole = span - span % block
         body = F.substring(data, (at + clear + 1).cast("int"), whole.cast("int"))
-        rest = F.substring(data, (at + clear + whole + 1).cast("int"), F.least(F.lit(stride) - whole, n - at - whole).cast("int"))
-        return F.struct(rest.alias("clear"), F.when(whole > 0, F.aes_encrypt(body, key, F.lit("CBC"), F.lit("PKCS"), iv)).alias("cipher"))
+        rest = F.substring(data, (at + clear + whole + 1).cast("int"), F.least(stride - whole, n - at - whole).cast("int"))
+        # the library puts the vector in front and a block of padding behind
+        cipher = F.substring(F.aes_encrypt(body, key, F.lit("CBC"), F.lit("PKCS"), iv), F.lit(block + 1), whole.cast("int"))
+        return F.struct(rest.alias("clear"), F.when(whole > 0, cipher).alias("cipher"))
 
     head = F.struct(F.substring(data, 1, clear).alias("clear"), F.lit(None).cast("binary").alias("cipher"))
     return F.concat(F.array(head), F.when(n > 0, F.transform(starts, one)).otherwise(F.array().cast("array<struct<clear:binary,cipher:binary>>")))
 
 
-def decrypt_subsamples(parts: Column, key: Column) -> Column:
-    plain = lambda p: F.concat(F.coalesce(F.aes_decrypt(p["cipher"], key, F.lit("CBC"), F.lit("PKCS")), F.lit(b"")), p["clear"])
+def xor_bytes(a: Column, b: Column, size: int) -> Column:
+    """a XOR b, of `size` bytes each."""
+    spans = [(i, min(4, size - i)) for i in range(0, size, 4)]
+    return F.concat(*[pack_uint(read_uint(a, i, n).bitwiseXOR(read_uint(b, i, n)), n) for i, n in spans])
+
+
+def decrypt_subsamples(parts: Column, key: Column, iv: Column, block: int = 16) -> Column:
+    def plain(p: Column) -> Column:
+        last = F.substring(p["cipher"], F.length(p["cipher"]) - block + 1, F.lit(block))
+        # the block that decrypts to padding behind the last one, which the library asks for
+        pad = F.substring(F.aes_encrypt(xor_bytes(last, F.lit(bytes([block] * block)), block), key, F.lit("ECB"), F.lit("PKCS")), F.lit(1), F.lit(block))
+        return F.concat(F.coalesce(F.aes_decrypt(F.concat(iv, p["cipher"], pad), key, F.lit("CBC"), F.lit("PKCS")), F.lit(b"")), p["clear"])
+
     return F.aggregate(F.transform(parts, plain), F.lit(b""), lambda a, b: F.concat(a, b))
 
 
+def counter_mode(data: Column, key: Column, vector: Column) -> Column:
+    """AES in counter mode, for encryption and decryption alike: blocks of a key stream made from vector (8 bytes) and the
+    number of the block, from 0."""
+    blocks = F.ceil(F.length(data) / 16).cast("int")
+    counters = F.transform(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0))), lambda i: F.concat(vector, pack_uint(i.cast("long"), 8)))
+
+    def one(counter: Column, i: Column) -> Column:
+        stream = F.aes_encrypt(counter, key, F.lit("ECB"), F.lit("PKCS"))
+        own = F.substring(F.concat(F.substring(data, 16 * i + 1, F.lit(16)), F.lit(bytes(15))), F.lit(1), F.lit(16))
+        return xor_bytes(own, stream, 16)
+
+    made = F.aggregate(F.transform(counters, one), F.lit(b""), lambda a, b: F.concat(a, b))
+    return F.when(F.length(data) == 0, F.lit(b"")).otherwise(F.substring(made, F.lit(1), F.length(data)))
+
+
 def rolled_key(keys: list[bytes], index: Column, every: int) -> Column:
     """The key of row number `index` if keys change every so many rows."""
     return F.element_at(F.array(*[F.lit(k) for k in keys]), (F.floor(index / every) % len(keys) + 1).cast("int"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 
 def tokens(text: Column, separators: str = " \t\r\n") -> Column:
@@ -24,32 +22,35 @@ def find_word(text: Column, word: str) -> Column:
 
 
 def contains_ignoring_case(text: Column, part: Column) -> Column:
-    return F.instr(F.lower(text), F.lower(part)) > 0 if not isinstance(part, Column) else F.contains(F.lower(text), F.lower(part))
-
-
-def _similar(a: str | None, b: str | None) -> bool:
-    """Word likeness, by five rules in order."""
-    if not a or not b:
-        return False
-    if (len(a) >= 3 and len(a) < len(b) and b.startswith(a)) or (len(b) >= 3 and len(b) < len(a) and a.startswith(b)):
-        return True
-    if 2 * len(a) < len(b):
-        return (":" in a) == (":" in b) and a.lower() in b.lower()
-    if (len(a) >= 3 and a in b) or (len(b) >= 3 and b in a):
-        return True
-    if 2 * sum(c in b for c in a) < len(a):
-        return False
-    run, at = 0, 0
-    for c in a:
-        if (found := b.find(c, at)) >= 0:
-            run, at = run + 1, found + 1
-    return (len(a) <= 4 and run >= 2) or (2 * run >= len(a) and 2 * run >= len(b))
-
-
-@F.pandas_udf(BooleanType())
-def similar_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether the words are alike enough to suggest one for the other."""
-    return pd.Series([_similar(x, y) for x, y in zip(a, b, strict=True)], dtype="boolean")
+    return F.contains(F.lower(text), F.lower(part))
+
+
+def similar_words(a: Column | str, b: Column | str) -> Column:
+    """Whether word b is alike enough to be suggested for a. Never null: two nulls, and two equal words, are alike.
+
+    A word of three characters or more that begins the other is alike. If b is more than twice as long, it has to contain a
+    (letter case aside), and both or neither hold a colon. Else one that holds the other, of three or more, is alike. Else each
+    character of b takes the first equal one of a that is still free: half of a's must be taken, and then as many must follow
+    on (their takers are neighbours in b, or the first is b's first) as half of either word, or two if a has four at most."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    n, m, low_a, low_b = F.length(a), F.length(b), F.lower(a), F.lower(b)
+    begins = ((n >= 3) & (n < m) & b.startswith(a)) | ((m >= 3) & (m < n) & a.startswith(b))
+    far = (F.contains(a, F.lit(":")) == F.contains(b, F.lit(":"))) & F.contains(low_b, low_a)
+    holds = ((m >= 3) & F.contains(low_a, low_b)) | ((n >= 3) & F.contains(low_b, low_a))
+    own, other = F.split(a, ""), F.split(b, "")
+
+    def take(taken: Column, i: Column) -> Column:
+        free = F.zip_with(own, taken, lambda c, by: (c == F.get(other, i - 1)) & (by == 0))
+        at = F.array_position(free, F.lit(True)) - 1
+        return F.transform(taken, lambda by, j: F.when(j == at, i).otherwise(by))
+
+    taken = F.aggregate(F.sequence(F.lit(1), m), F.array_repeat(F.lit(0), n), take)
+    matched = F.size(F.filter(taken, lambda by: by > 0))
+    follows = F.transform(taken, lambda by, j: by == F.when(j == 0, F.lit(1)).otherwise(F.get(taken, j - 1) + 1))
+    run = F.size(F.filter(follows, lambda f: f))
+    near = (2 * matched >= n) & (((n <= 4) & (run >= 2)) | ((2 * run >= n) & (2 * run >= m)))
+    told = F.when(a.eqNullSafe(b), True).when(a.isNull() | b.isNull() | (n == 0) | (m == 0), False)
+    return told.when(begins, True).when(2 * n < m, far).when(holds, True).otherwise(near)
 
 
 #: What marks a URL with a scheme.
@@ -65,13 +66,22 @@ def url_is_relative(url: Column) -> Column:
 
 
 def url_join(base: Column, url: Column) -> Column:
-    """url against base: absolute URLs stay, `/x` goes to the host, anything else to the folder; `./` and `x/../` vanish."""
+    """url against base: absolute URLs stay, `/x` goes to the host, anything else to the folder; `./` and `x/../` vanish, however
+    deep. A query or fragment stays as it is."""
     host = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?", 0)
     folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<![:/])/[^/]*$", "/")
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    joined = F.when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(folder, F.regexp_replace(url, r"^(?:\./)+", "")))
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/(?!\.\.?/)[^/:]+/\.\./", "/")
+    joined = F.when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(folder, url))
+    tail = F.regexp_extract(joined, r"[?#].*$", 0)
+    path = F.substring(F.regexp_replace(joined, r"[?#].*$", ""), F.length(host) + 1, F.length(joined))
+
+    def step(done: Column, part: Column) -> Column:
+        inner = (F.size(done) > 0) & ~F.coalesce(F.element_at(done, -1), F.lit("")).isin("", "..")
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when((part == "..") & inner, up).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    joined = F.concat(host, F.concat_ws("/", parts), tail)
     return F.when(url_is_relative(url) | url.startswith("/"), joined).otherwise(url)
 
 
@@ -86,7 +96,7 @@ def url_extension(url: Column) -> Column:
 
 def url_escape(url: Column) -> Column:
     """Escapes spaces, bytes from 0x80 up, and a `%` followed by two characters that aren't both hexadecimal; no more."""
-    text = F.regexp_replace(url, r"%(?![0-9A-Fa-f]{2})(?=..)", "%25")
+    text = F.regexp_replace(url, r"(?s)%(?![0-9A-Fa-f]{2})(?=..)", "%25")
     text = F.replace(text, F.lit(" "), F.lit("%20"))
     quoted = F.transform(F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]+"), F.lit(0)), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.hex(F.encode(t, "UTF-8")), "(..)", "%$1")).otherwise(t))
     return F.concat_ws("", quoted)
@@ -128,6 +138,6 @@ def subtitle_format(text: Column) -> Column:
 
 def decode_utf16(data: Column) -> Column:
     """Bytes as text: by their byte-order mark, else as UTF-8."""
-    rest = lambda n: F.substring(data, n, 1 << 30)
+    rest = lambda n: F.substring(data, F.lit(n), F.length(data))
     head = F.hex(F.substring(data, 1, 3))
     return F.when(head.startswith("FFFE"), F.decode(rest(3), "UTF-16LE")).when(head.startswith("FEFF"), F.decode(rest(3), "UTF-16BE")).when(head == "EFBBBF", F.decode(rest(4), "UTF-8")).otherwise(F.decode(data, "UTF-8"))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.packets import chunk_of
-from rivulet.operators.scan import ordered_fold, scan
+from rivulet.operators.scan import ordered_fold
+from rivulet.operators.windows import unwrap_sequence
 
 
 def concatenate(sources: list[DataFrame], per_stream: bool = False) -> DataFrame:
@@ -64,11 +64,9 @@ def merged(streams: DataFrame) -> DataFrame:
 def reorder(df: DataFrame, seq: str, order: list[str]) -> DataFrame:
     """Packets in the order of their 16-bit numbers (carried on over wraps), repeats dropped: the first arrival stays.
     Adds place, the unwrapped number."""
-    near = scan(df, ["pid"], order, chunk_of(F.col(order[0])), lags={"_was": F.col(seq)})
-    turn = F.when(F.col(seq) < F.col("_was") - 32768, 65536).when(F.col(seq) > F.col("_was") + 32768, -65536).otherwise(0)
-    out = scan(near.withColumn("_turn", turn), ["pid"], order, chunk_of(F.col(order[0])), sums={"_base": F.col("_turn")}).withColumn("place", F.col(seq) + F.col("_base"))
+    out = unwrap_sequence(df, seq, order).withColumnRenamed("unwrapped", "place")
     first = F.row_number().over(Window.partitionBy("pid", "place").orderBy(*order))
-    return out.withColumn("_r", first).where("_r = 1").drop("_r", "_was", "_turn", "_base")
+    return out.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
 def interleave(df: DataFrame, most: int, order: list[str]) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators.packets import chunk_of
-from rivulet.operators.scan import scan
+from rivulet.operators.scan import count_marks, scan
 
 
 def compact_times(df: DataFrame) -> DataFrame:
     """pid, run, delta, count from samples (pid, number, dur): equal neighbouring durations as one entry."""
-    last = scan(df, ["pid"], ["number"], chunk_of(F.col("number"), 100_000), lags={"_was": F.col("dur")})
-    runs = scan(last.withColumn("_new", F.when(F.col("_was") == F.col("dur"), 0).otherwise(1)), ["pid"], ["number"], chunk_of(F.col("number"), 100_000), sums={"run": F.col("_new")})
+    new = lambda a, b: F.when(a["d"] == b["d"], 0).otherwise(1)
+    runs = count_marks(df, ["pid"], ["number"], chunk_of(F.col("number"), 100_000), {"d": F.col("dur")}, new, "run")
     return runs.groupBy("pid", "run", F.col("dur").alias("delta")).agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,18 +65,46 @@ def scan(
     return both.select(*[c for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
+def count_marks(df: DataFrame, by: list[str], order: list[str], chunk: Column, values: Named, mark: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """df with `name`: the sum of mark(before, own) over all rows up to and with each, in the order of `scan`. before and own
+    are structs of `values` of the row before (null for a stream's first) and of the row itself.
+
+    One step where a scan of the row before and another of its marks would be two: a chunk's first mark is made in the chunks'
+    table, where the last row of the chunk before is known."""
+    own = Window.partitionBy(*by, "_chunk").orderBy(*order)
+    held = F.struct(*[c.alias(n) for n, c in values.items()])
+    rows = df.withColumn("_chunk", chunk).withColumn("_own", held)
+    rows = rows.withColumn("_before", F.lag("_own").over(own)).withColumn("_place", F.row_number().over(own))
+    inner = F.when(F.col("_place") > 1, mark(F.col("_before"), F.col("_own"))).otherwise(F.lit(0))
+    rows = rows.withColumn("_sum", F.sum(inner.cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = rows.groupBy(*by, "_chunk").agg(F.max_by("_sum", "_place").alias("_all"), F.min_by("_own", "_place").alias("_head"), F.max_by("_own", "_place").alias("_tail"))
+    along = Window.partitionBy(*by).orderBy("_chunk")
+    first = F.coalesce(mark(F.lag("_tail").over(along), F.col("_head")), F.lit(0)).cast("long")
+    edges = edges.withColumn("_first", first)
+    behind = F.coalesce(F.sum(F.col("_all") + F.col("_first")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = edges.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, "_chunk")], (behind + F.col("_first")).alias("_base"))
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, "_chunk")]
+    return rows.join(ahead, on).select(*[c for c in df.columns if c != name], (F.col("_sum") + F.col("_base")).alias(name))
+
+
+def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+
 def ordered_fold(df: DataFrame, by: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, list[dict]]], schema: str, end: Callable[[object], list[dict]] | None = None) -> DataFrame:
     """For rules whose next output depends on the last one: step(state, row) -> (state, rows out) in each stream's order,
     and end(state) when a stream ends. Streams are spread over tasks and sorted there (with spill); a task holds one batch
-    and one state at a time, so a long stream needs time but no memory."""
+    and one state at a time, so a long stream needs time but no memory. Rows pass in Arrow batches, so that whole numbers
+    stay whole beside nulls."""
+    target = arrow_schema(df, schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        names = None
-        for frame in frames:
+        for batch in batches:
             out: list[dict] = []
-            for row in frame.to_dict("records"):
-                row = {k: None if v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else v for k, v in row.items()}
+            for row in batch.to_pylist():
                 key = tuple(row[b] for b in by)
                 if now != key:
                     if now is not None and end:
@@ -85,9 +113,8 @@ def ordered_fold(df: DataFrame, by: list[str], order: list[str], start: Callable
                 state, more = step(state, row)
                 out += more
             if out:
-                names = list(out[0])
-                yield pd.DataFrame(out, columns=names)
+                yield pa.RecordBatch.from_pylist(out, schema=target)
         if now is not None and end and (rest := end(state)):
-            yield pd.DataFrame(rest, columns=list(rest[0]))
+            yield pa.RecordBatch.from_pylist(rest, schema=target)
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

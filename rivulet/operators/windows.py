@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators.packets import chunk_of
-from rivulet.operators.scan import ordered_fold, scan
+from rivulet.operators.scan import count_marks, ordered_fold, scan
 
 ORDER = ["cts", "event_id"]
 
@@ -18,9 +18,8 @@ def gap_segments(df: DataFrame, threshold: int, order: list[str] = ORDER, chunk:
     """segment: rises by one where time falls, or jumps by more than threshold; a last time of 0 counts as unset."""
     ts = order[0]
     at = chunk_of(F.col(ts)) if chunk is None else chunk
-    last = scan(df, ["pid"], order, at, lags={"_last": F.col(ts)})
-    cut = F.when((F.col("_last") != 0) & ((F.col(ts) < F.col("_last")) | (F.col(ts) > F.col("_last") + threshold)), 1).otherwise(0)
-    return scan(last.withColumn("_cut", cut), ["pid"], order, at, sums={"segment": F.col("_cut")}).drop("_cut", "_last")
+    cut = lambda a, b: F.when((a["t"] != 0) & ((b["t"] < a["t"]) | (b["t"] > a["t"] + threshold)), 1).otherwise(0)
+    return count_marks(df, ["pid"], order, at, {"t": F.col(ts)}, cut, "segment")
 
 
 def groups(df: DataFrame, order: list[str] = ORDER) -> DataFrame:
@@ -160,9 +159,8 @@ def roll_up(df: DataFrame, lines: int, order: list[str]) -> DataFrame:
 
 def run_lengths(df: DataFrame, value: str, order: list[str] = ORDER) -> DataFrame:
     """pid, run, value, count: consecutive equal values as one row."""
-    last = scan(df, ["pid"], order, chunk_of(F.col(order[0])), lags={"_was": F.struct(F.col(value).alias("v"))})
-    new = F.when(F.col("_was").isNull() | ~F.col("_was.v").eqNullSafe(F.col(value)), 1).otherwise(0)
-    runs = scan(last.withColumn("_new", new), ["pid"], order, chunk_of(F.col(order[0])), sums={"run": F.col("_new")})
+    new = lambda a, b: F.when(a.isNull() | ~a["v"].eqNullSafe(b["v"]), 1).otherwise(0)
+    runs = count_marks(df, ["pid"], order, chunk_of(F.col(order[0])), {"v": F.col(value)}, new, "run")
     return runs.groupBy("pid", "run", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -173,10 +171,9 @@ def expand_runs(df: DataFrame, count: str = "count") -> DataFrame:
 
 def unwrap_sequence(df: DataFrame, seq: str, order: list[str] = ORDER) -> DataFrame:
     """unwrapped: 16-bit numbers carried on over their wraps (a fall by more than half the range)."""
-    last = scan(df, ["pid"], order, chunk_of(F.col(order[0])), lags={"_was": F.col(seq)})
-    turn = F.when(F.col(seq) < F.col("_was") - 32768, 65536).when(F.col(seq) > F.col("_was") + 32768, -65536).otherwise(0)
-    out = scan(last.withColumn("_turn", turn), ["pid"], order, chunk_of(F.col(order[0])), sums={"_base": F.col("_turn")})
-    return out.withColumn("unwrapped", F.col(seq) + F.col("_base")).drop("_was", "_turn", "_base")
+    turn = lambda a, b: F.when(b["n"] < a["n"] - 32768, 65536).when(b["n"] > a["n"] + 32768, -65536).otherwise(0)
+    out = count_marks(df, ["pid"], order, chunk_of(F.col(order[0])), {"n": F.col(seq)}, turn, "_base")
+    return out.withColumn("unwrapped", F.col(seq) + F.col("_base")).drop("_base")
 
 
 def from_clock(df: DataFrame, order: list[str] = ORDER) -> DataFrame:

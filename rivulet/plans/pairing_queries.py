@@ -44,7 +44,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.as_of(left, right, "event_id", tolerance=DAY).select("id", "matched")
 
 
-@query("j3_attach_captions")
+_ATTACHED = f"""with recursive {{P}},
+c as (select pid, cts, props as text, row_number() over (partition by pid order by cts, props) as k from p where event_type = 'click'),
+f as (select pid, event_id as id, cts as ts, row_number() over (partition by pid order by cts, event_id) as n from p where event_type = 'view'),
+a as (select f.pid, f.id, f.ts, f.n, count(c.k) as arrived from f left join c on c.pid = f.pid and c.cts <= f.ts group by all),
+r as (select pid, id, ts, n, least(arrived, 1) as taken, case when arrived > 0 then ts end as since, arrived > 0 as shown from a where n = 1
+  union all select a.pid, a.id, a.ts, a.n, least(a.arrived, r.taken + 1), case when a.arrived > r.taken then a.ts else r.since end,
+    a.arrived > r.taken or r.shown and a.ts - r.since <= {DAY} from r join a on a.pid = r.pid and a.n = r.n + 1)
+select r.pid, r.id, r.ts, case when shown then c.text end as text from r left join c on c.pid = r.pid and c.k = r.taken"""
+
+
+@query("j3_attach_captions", _ATTACHED)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     frames = e.where("event_type = 'view'").select("pid", F.col("event_id").alias("id"), F.col("cts").alias("ts"))
@@ -127,36 +137,56 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("pid"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.length("props").cast("long").alias("size"), "event_type")
 
 
-@query("t5_stream_segments", "with w as (select user_id as pid, (epoch_us(ts) - 600000000) // 86400000000 as w, count(*) as packets, cast(sum(length(props)) as bigint) as bytes from events group by all), m as (select max(epoch_us(ts)) as m from events) select pid, w * 86400000 + 600000 as start_ms, packets, bytes from w, m where (w + 1) * 86400000000 + 600000000 <= m")
+_SEGMENTS = """select user_id as pid, (epoch_us(ts) - 600000000) // 86400000000 * 86400000 + 600000 as start_ms, count(*) as packets,
+  cast(sum(length(props)) as bigint) as bytes from events group by all"""
+
+
+@query("t5_stream_segments", _SEGMENTS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streaming.drain(streaming.segments(_stream(spark, sf_dir), "1 day", "10 minutes"), "segments")
+    out = streaming.flushed(streaming.segments(_stream(spark, sf_dir), "1 day", "10 minutes"), "segments")
     return out.select("pid", F.unix_millis("start").alias("start_ms"), "packets", "bytes")
 
 
-@query("t6_stream_sessions")
+_SESSIONS = """with e as (select user_id as pid, event_id, epoch_us(ts) as t from events),
+g as (select *, case when t - lag(t) over (partition by pid order by t, event_id) < 21600000000 then 0 else 1 end as new from e),
+n as (select *, sum(new) over (partition by pid order by t, event_id) as s from g)
+select pid, min(t) // 1000 as start_ms, (max(t) + 21600000000) // 1000 as end_ms, count(*) as packets from n group by pid, s"""
+
+
+@query("t6_stream_sessions", _SESSIONS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streaming.drain(streaming.sessions(_stream(spark, sf_dir), "6 hours"), "sessions")
+    out = streaming.flushed(streaming.sessions(_stream(spark, sf_dir), "6 hours"), "sessions")
     return out.select("pid", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "packets")
 
 
-@query("t10_stream_repeats", "select event_id from events")
+@query("t10_stream_repeats", "select min(event_id) as event_id, event_type, user_id as pid from events group by event_type, user_id, ts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, sf_dir)
-    twice = s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return streaming.drain(streaming.without_repeats(twice, ["event_id"], "40 days"), "repeats").select("event_id")
+    """Every packet arrives twice; the first arrival stays."""
+    twice = _stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = streaming.drain(streaming.without_repeats(twice, ["event_id"], "40 days"), "repeats")
+    return out.select("event_id", "event_type", "pid")
+
+
+_JOINED = """with c as (select user_id as pid, event_id, ts from events where event_type = 'click'),
+v as (select user_id as pid, event_id, ts from events where event_type = 'view')
+select c.event_id, v.event_id as other from c left join v on c.pid = v.pid and v.ts >= c.ts and v.ts <= c.ts + interval 6 hour"""
 
 
-@query("t4_stream_join", "with c as (select user_id as pid, event_id, ts from events where event_type = 'click'), v as (select user_id as pid, event_id, ts from events where event_type = 'view') select c.event_id, v.event_id as other from c join v on c.pid = v.pid and v.ts >= c.ts and v.ts <= c.ts + interval 6 hour")
+@query("t4_stream_join", _JOINED)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with the views of six hours after; those without one come out alone, also at the end of input."""
     s = _stream(spark, sf_dir)
     left = s.where("event_type = 'click'").select("pid", "ts", "event_id")
     right = s.where("event_type = 'view'").select(F.col("pid").alias("r_pid"), F.col("ts").alias("r_ts"), F.col("event_id").alias("other"))
-    return streaming.drain(streaming.join_within(left, right, "40 days", "6 hours", "inner"), "joined").select("event_id", "other")
+    return streaming.drain_join(left, right, "40 days", "6 hours", "joined").select("event_id", "other")
+
+
+_REORDERED = """with n as (select event_id % 16 as pid, event_id, xor(event_id // 16, 1) as place from events) select pid, place % 65536 as seq, place from n"""
 
 
-@query("t3_stream_reorder", "with n as (select event_id % 16 as pid, count(*) as n from events group by all) select pid, unnest(range(1, n - n % 2)) % 65536 as seq, unnest(range(1, n - n % 2)) as place from n")
+@query("t3_stream_reorder", _REORDERED)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen streams in which every two neighbours arrive swapped; what would precede the first arrival is too late."""
+    """Sixteen streams in which every two neighbours arrive swapped; what waits at the end of input is given out."""
     seq = F.expr("(event_id div 16) ^ 1") % 65536
     s = _stream(spark, sf_dir).select((F.col("event_id") % 16).alias("pid"), seq.alias("seq"), "ts")
-    return streaming.drain(streaming.reorder(s, 100), "reordered").select("pid", "seq", "place")
+    return streaming.drain_reordered(s, 100, "reordered").select("pid", "seq", "place")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rivulet.operators.scan import arrow_schema
+
 Operator = Callable[..., DataFrame]
 
 
@@ -51,17 +53,18 @@ class Pipeline:
 
 def scripted(df: DataFrame, process: Callable[[dict], dict | list[dict] | None], schema: str) -> DataFrame:
     """A user's function over packets: a row in; none, one or many rows out. Rows pass in Arrow batches."""
+    target = arrow_schema(df, schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out: list[dict] = []
-            for row in frame.to_dict("records"):
+            for row in batch.to_pylist():
                 got = process(row)
                 out += [got] if isinstance(got, dict) else got or []
             if out:
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def inspect(df: DataFrame) -> DataFrame:

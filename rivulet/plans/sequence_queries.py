@@ -123,7 +123,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.losses(event_packets(spark, sf_dir).withColumn("n16", F.expr(_SEQ16)), "n16", windows.ORDER)
 
 
-@query("a12_jitter")
+_JITTER = """with recursive {P}, r as (
+  select pid, seq, event_id % 40 as t, cast(0 as bigint) as j from p where seq = 0
+  union all select p.pid, p.seq, p.event_id % 40, r.j + abs(p.event_id % 40 - r.t) - ((r.j + 8) >> 4) from r join p on p.pid = r.pid and p.seq = r.seq + 1)
+select pid, arg_max(j, seq) >> 4 as jitter from r group by pid"""
+
+
+@query("a12_jitter", _JITTER)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = event_packets(spark, sf_dir).withColumn("arrival", F.col("cts") + F.col("event_id") % 40).withColumn("ts", F.col("cts"))
     return aggregates.jitter(p, windows.ORDER)
@@ -167,7 +173,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.gap_segments(events(spark, sf_dir), GAP * 4).select("event_id", F.col("segment").cast("long").alias("segment"))
 
 
-@query("w3_align")
+_ALIGN = """with recursive {P}, r as (
+  select pid, seq, event_id, cts as out_ts, case when dur > 0 then dur end as least_dur from p where seq = 0
+  union all select p.pid, p.seq, p.event_id,
+    case when least_dur is not null and abs(p.cts - (r.out_ts + least_dur)) > 60000 then r.out_ts + least_dur else p.cts end,
+    case when p.dur > 0 then least(coalesce(least_dur, p.dur), p.dur) else least_dur end from r join p on p.pid = r.pid and p.seq = r.seq + 1)
+select pid, event_id, out_ts from r"""
+
+
+@query("w3_align", _ALIGN)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.align(event_packets(spark, sf_dir), 60_000)
 
@@ -182,7 +196,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.split_by_duration(events(spark, sf_dir), 2 * DAY).select("event_id", "part")
 
 
-@query("w5_split_size")
+_GREEDY = """with recursive {{P}}, r as (
+  select pid, seq, event_id, cast(0 as bigint) as part, {0} as held from p where seq = 0
+  union all select p.pid, p.seq, p.event_id, case when held > 0 and held + p.{0} > {1} then part + 1 else part end,
+    case when held > 0 and held + p.{0} > {1} then p.{0} else held + p.{0} end from r join p on p.pid = r.pid and p.seq = r.seq + 1)
+select pid, event_id as {2}, part as {3} from r"""
+
+
+@query("w5_split_size", _GREEDY.format("size", 100, "event_id", "part"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.split_by_size(events(spark, sf_dir), 100)
 
@@ -268,10 +289,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUT = T0 + 10 * DAY
 
 
-@query("u3_splice", f"with e as (select *, epoch_us(ts) // 1000 as cts from events), o as (select min(cts) as f, max(cts + 10) - min(cts) as len from e where event_type = 'error' and user_id = 1), i as (select event_id, cts - f + {_CUT} as cts, true as spliced from e, o where event_type = 'error' and user_id = 1) select event_id, cts, false as spliced from e, o where event_type <> 'error' and (cts < {_CUT} or cts >= {_CUT} + coalesce(len, 0)) union all select * from i")
+_KEPT = f"""with e as (select *, epoch_us(ts) // 1000 as cts from events),
+o as (select min(cts) as f, max(cts + 10) - min(cts) as len from e where event_type = 'error')
+select event_id, case when event_type = 'error' then cts - f + {_CUT} when cts < {_CUT} then cts else cts + coalesce(len, 0) end as cts,
+  event_type = 'error' as spliced from e, o"""
+
+
+@query("u3_splice", _KEPT)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events of every stream put in, all others kept: those behind the cut follow."""
     e = events(spark, sf_dir).withColumn("dur", F.lit(10))
-    return concat.splice(e.where("event_type <> 'error'"), e.where("event_type = 'error' and pid = 1"), _CUT).select("event_id", "cts", "spliced")
+    return concat.splice(e.where("event_type <> 'error'"), e.where("event_type = 'error'"), _CUT, keep=True).select("event_id", "cts", "spliced")
 
 
 @query("u3_splice_all", f"with e as (select *, epoch_us(ts) // 1000 as cts from events), o as (select min(cts) as f, max(cts + 10) - min(cts) as len from e where event_type = 'error'), i as (select event_id, cts - f + {_CUT} as cts, true as spliced from e, o where event_type = 'error') select event_id, cts, false as spliced from e, o where event_type <> 'error' and (cts < {_CUT} or cts >= {_CUT} + coalesce(len, 0)) union all select * from i")
@@ -301,7 +329,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat.merged(event_packets(spark, sf_dir).select("pid", "seq", F.col("cts").alias("dts"), (1000 + F.col("pid") % 3).alias("timescale")))
 
 
-@query("s5_interleave")
+@query("s5_interleave", _GREEDY.format("dur", DAY, "id", "chunk"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat.interleave(event_packets(spark, sf_dir).withColumn("id", F.col("event_id")), DAY, ["cts", "id"])
 

@@ -15,12 +15,18 @@ from rivulet.sources.scratch import shared_dir
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
-_CUES = "select conv_id as pid, row_number() over (partition by conv_id order by turn) - 1 as number, turn * 2000 as start, turn * 2000 + 1000 as \"end\", trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[<>&{{}}]', '_', 'g')) as text from conversations".replace("{{}}", "{}")
+#: Cues of conversations; runs of white space are one blank, as a blank line would end a cue. Markup stays.
+_CUES = """select conv_id as pid, row_number() over (partition by conv_id order by turn) - 1 as number, turn * 2000 as start,
+  turn * 2000 + 1000 as "end", trim(regexp_replace(text, '\\s+', ' ', 'g')) || case when turn % 2 = 0 then ' <i>a & b</i> {x}' else '' end as text
+from conversations"""
+_CLOCK = "printf('%02d:%02d:%02d{0}%03d', {1} // 3600000, {1} // 60000 % 60, {1} // 1000 % 60, {1} % 1000)"
+_ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&apos;')"
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = captions(spark, sf_dir)
-    clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\s]+", " "), r"[<>&{}]", "_"))
+    marked = F.when(F.col("seq") % 2 == 0, " <i>a & b</i> {x}").otherwise("")
+    clean = F.concat(F.trim(F.regexp_replace("text", r"[\s]+", " ")), marked)
     number = F.row_number().over(Window.partitionBy("pid").orderBy("seq")) - 1
     return c.select("pid", number.cast("long").alias("number"), "start", "end", clean.alias("text"))
 
@@ -40,11 +46,37 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.read_ttml(subtitles.write_ttml(_cues(spark, sf_dir)))
 
 
-@query("vtt_to_srt", "with c as (%s) select pid, string_agg(printf('%%d', number + 1) || chr(10) || printf('%%02d:%%02d:%%02d,%%03d', start // 3600000, start // 60000 %% 60, start // 1000 %% 60, start %% 1000) || ' --> ' || printf('%%02d:%%02d:%%02d,%%03d', \"end\" // 3600000, \"end\" // 60000 %% 60, \"end\" // 1000 %% 60, \"end\" %% 1000) || chr(10) || text || chr(10), chr(10) order by start) as text from c group by pid" % _CUES)
+_SRT = f"""with c as ({_CUES})
+select pid, string_agg(printf('%d', number + 1) || chr(10) || {_CLOCK.format(",", "start")} || ' --> ' || {_CLOCK.format(",", '"end"')}
+  || chr(10) || text || chr(10), chr(10) order by start) as text from c group by pid"""
+
+
+@query("vtt_to_srt", _SRT)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.write_srt(subtitles.read_vtt(subtitles.write_vtt(_cues(spark, sf_dir))))
 
 
+_VTT = f"""with c as ({_CUES})
+select pid, 'WEBVTT' || chr(10) || chr(10) || string_agg({_CLOCK.format(".", "start")} || ' --> ' || {_CLOCK.format(".", '"end"')}
+  || chr(10) || text || chr(10), chr(10) order by start) as text from c group by pid"""
+
+
+@query("ttml_to_vtt", _VTT)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.write_vtt(subtitles.read_ttml(subtitles.write_ttml(_cues(spark, sf_dir))))
+
+
+_TTML = f"""with c as ({_CUES})
+select pid, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<tt xmlns="http://www.w3.org/ns/ttml"><body><div>' || string_agg('<p begin="'
+  || {_CLOCK.format(".", "start")} || '" end="' || {_CLOCK.format(".", '"end"')} || '">' || {_ESCAPE.format("text")} || '</p>', '' order by start)
+  || '</div></body></tt>' as text from c group by pid"""
+
+
+@query("srt_to_ttml", _TTML)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.write_ttml(subtitles.read_srt(subtitles.write_srt(_cues(spark, sf_dir))))
+
+
 @query("playlist_round_trip", "select user_id as pid, row_number() over (partition by user_id order by event_id) - 1 as number, 'seg_' || event_id || '.m4s' as uri, (length(props) * 100 + 7) / 1000 as duration from events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("pid", F.col("event_id").alias("start"), F.col("event_id").alias("number"), (F.col("size") * 100 + 7).alias("duration"), F.format_string("seg_%d.m4s", "event_id").alias("uri"))
@@ -57,7 +89,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.words(c).withColumn("seq", F.col("seq").cast("long"))
 
 
-@query("caption_words")
+_WORDS = r"""with c as (select conv_id * 100 + turn as pid, text from conversations where text <> ''),
+h as (select pid, text, unnest(range(1, length(text) + 1)) as i from c),
+e as (select pid, i - 1 as ts, case when text[i] = chr(10) then text[1:i]
+  when regexp_matches(text[i], '^\s$') and i > 1 and not regexp_matches(text[i-1], '^\s$') then text[1:i-1] end as t from h),
+l as (select pid, arg_max(t, ts) filter (t is not null) as told from e group by pid)
+select pid, ts, t as text from e where t is not null
+union all select c.pid, length(c.text) - 1, c.text from c left join l on c.pid = l.pid where c.text is distinct from told"""
+
+
+@query("caption_words", _WORDS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = captions(spark, sf_dir).select((F.col("pid") * 100 + F.col("seq")).alias("pid"), F.posexplode(F.split("text", "")).alias("ts", "fragment"))
     return windows.words(c.withColumn("ts", F.col("ts").cast("long")).where("fragment <> ''"))
@@ -89,18 +130,41 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", text.url_base_name(u).alias("name"), text.url_join(u, F.lit("/x/y")).alias("rooted"), text.url_is_local(u).alias("local"))
 
 
-@query("url_escape", "select doc_id, length(text) as n, true as same from documents")
+_ESCAPED = r"""with c as (select doc_id, text, string_split(text, '') as c from documents)
+select doc_id, array_to_string(list_transform(range(1, len(c) + 1), lambda i: case when c[i] = ' ' then '%20'
+  when c[i] = '%' and i + 2 <= len(c) and not regexp_matches(c[i+1] || c[i+2], '^[0-9A-Fa-f][0-9A-Fa-f]$') then '%25'
+  when ord(c[i]) > 127 then regexp_replace(hex(encode(c[i])), '(..)', '%\1', 'g') else c[i] end), '') as escaped from c"""
+
+
+@query("url_escape", _ESCAPED)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    t = F.regexp_replace("text", "%", "")
-    back = text.url_unescape(text.url_escape(t))
-    return d.select("doc_id", F.length("text").cast("long").alias("n"), (back == t).alias("same"))
+    return d.select("doc_id", text.url_escape(F.col("text")).alias("escaped"))
 
 
-@query("tokens", "select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) as n, regexp_matches(text, '(^|\\W)the(\\W|$)') as has_the from documents where regexp_matches(text, '^[\\x00-\\x7f]*$')")
+@query("url_unescape", "select page_id, url || ' é%zz%4' as back from pages")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-    return d.select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"), (text.find_word(F.col("text"), "the") > 0).alias("has_the"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", text.url_unescape(text.url_escape(F.concat("url", F.lit(" é%zz%4")))).alias("back"))
+
+
+@query("url_join_deep", "select page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) || '/a/f?x/../y' as deep from pages")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten levels down from the host's /a/ and up again."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    base = F.concat(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0), F.lit("/a/b1/b2/b3/b4/b5/b6/b7/b8/b9/b10/file"))
+    return p.select("page_id", text.url_join(base, F.lit("./" + "../" * 10 + "./f?x/../y")).alias("deep"))
+
+
+_TOKENS = r"""select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[.,\n]+'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '')) as n,
+  contains(lower(text), 'the') as has_the from documents"""
+
+
+@query("tokens", _TOKENS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripped tokens between full stops, commas and line ends, and a search without regard to case, in whole texts."""
+    d, t = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("text")
+    return d.select("doc_id", F.size(text.stripped_tokens(t, ".,\n")).cast("long").alias("n"), text.contains_ignoring_case(t, F.lit("The")).alias("has_the"))
 
 
 @query("tokens_all", "select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) as n, regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') as has_the from documents")
@@ -116,19 +180,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", text.similar_words("p_name", "p_type").alias("same"))
 
 
-@query("entities", "select page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') = html as plain, html as back from pages")
+@query("entities", f"select page_id, html as back, {_ESCAPE.format('html')} as escaped from pages")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     there = text.escape_entities(F.col("html"))
-    plain = ~F.col("html").rlike("[&<>]")
-    return p.select("page_id", plain.alias("plain"), text.unescape_entities(there).alias("back"))
+    return p.select("page_id", there.alias("escaped"), text.unescape_entities(there).alias("back"))
 
 
-@query("digests", "select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256, base64(encode(text[1:9])) as b64, hex(encode(text[1:9])) as hex from documents where regexp_matches(text[1:9], '^[\\x20-\\x7f]*$')")
+@query("digests", "select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.substring("text", 1, 9).rlike(r"^[\x20-\x7f]*\z"))
-    head = F.encode(F.substring("text", 1, 9), "UTF-8")
-    return d.withColumn("d", binary.digests(F.encode("text", "UTF-8"))).select("doc_id", "d.md5", "d.sha1", "d.sha256", F.base64(head).alias("b64"), F.hex(head).alias("hex"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.withColumn("d", binary.digests(F.encode("text", "UTF-8"))).select("doc_id", "d.md5", "d.sha1", "d.sha256")
 
 
 @query("digests_all", "select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256, base64(encode(text)) as b64, hex(encode(text)) as hex from documents")
@@ -139,7 +201,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("d", binary.digests(F.col("b"))).select("doc_id", "d.md5", "d.sha1", "d.sha256", plain.alias("b64"), F.hex("b").alias("hex"))
 
 
-@query("crc32_msb")
+_CRC = """with t as (select list_transform(range(256), lambda i: list_reduce([cast(i as bigint) * 16777216, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: xor((c * 2) & 4294967295, case when c >= 2147483648 then 79764919 else 0 end))) as t),
+d as (select conv_id, turn, hex(encode(text)) as h from conversations),
+b as (select conv_id, turn, list_transform(range(length(h) // 2), lambda i: cast('0x' || h[2 * i + 1 : 2 * i + 2] as bigint)) as b from d)
+select conv_id, turn, list_reduce(list_prepend(4294967295, b), lambda c, x: xor((c * 256) & 4294967295, t[xor(c // 16777216, x) + 1])) as crc from b, t"""
+
+
+@query("crc32_msb", _CRC)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return d.select("conv_id", "turn", binary.crc32_msb(F.encode("text", "UTF-8")).alias("crc"))
@@ -151,13 +220,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "turn", F.decode(binary.decompress(binary.compress(F.encode("text", "UTF-8"))), "UTF-8").alias("back"))
 
 
-@query("encryption", "select conv_id, turn, text as back, strlen(text) > 31 as hidden from conversations")
+@query("encryption", "select conv_id, turn, text as back, strlen(text) > 31 as hidden, strlen(text) as n, text as counted from conversations")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Subsamples and counter mode there and back; n is the length of what is sent, which no padding adds to."""
+    d, iv = spark.read.parquet(f"{sf_dir}/conversations.parquet"), F.lit(bytes(range(16)))
     key = binary.rolled_key([b"0123456789abcdef", b"fedcba9876543210"], F.col("turn"), 2)
     data = F.encode("text", "UTF-8")
-    parts = binary.encrypt_subsamples(data, key, F.lit(b"\0" * 16), 16, (1, 2))
-    return d.withColumn("parts", parts).withColumn("key", key).select("conv_id", "turn", F.decode(binary.decrypt_subsamples(F.col("parts"), F.col("key")), "UTF-8").alias("back"), F.exists("parts", lambda p: p["cipher"].isNotNull()).alias("hidden"))
+    sent = d.withColumn("key", key).withColumn("parts", binary.encrypt_subsamples(data, F.col("key"), iv, 16, (1, 2)))
+    sent = sent.withColumn("stream", binary.counter_mode(data, F.col("key"), F.lit(bytes(8))))
+    size = F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p["clear"]) + F.coalesce(F.length(p["cipher"]), F.lit(0)))
+    back = F.decode(binary.decrypt_subsamples(F.col("parts"), F.col("key"), iv), "UTF-8")
+    counted = F.decode(binary.counter_mode(F.col("stream"), F.col("key"), F.lit(bytes(8))), "UTF-8")
+    hidden = F.exists("parts", lambda p: p["cipher"].isNotNull())
+    return sent.select("conv_id", "turn", back.alias("back"), hidden.alias("hidden"), size.cast("long").alias("n"), counted.alias("counted"))
 
 
 @query("bit_fields", "with d as (select doc_id, hex(encode(text)) as h from documents where strlen(text) >= 8), n as (select doc_id, cast('0x' || h[1:4] as bigint) as be, cast('0x' || h[3:4] || h[1:2] as bigint) as le, cast('0x' || h[1:6] as bigint) as w from d) select doc_id, be, le, (w // 32) % 2048 as bits from n")
@@ -206,12 +281,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_session(spark, path, 1_704_500_000_000, 1_705_500_000_000)
 
 
-@query("xml_round_trip", "select conv_id, turn, role from conversations")
+@query("xml_round_trip", "select conv_id, turn, role, text as payload from conversations")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "xml")
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    files.write_xml(c.select("conv_id", "turn", "role", F.col("text").alias("payload")).drop("payload"), path)
-    return files.read_xml(spark, path, "conv_id long, turn long, role string")
+    files.write_xml(c.select("conv_id", "turn", "role", F.col("text").alias("payload")), path)
+    return files.read_xml(spark, path, "conv_id long, turn long, role string, payload string")
 
 
 @query("xml_payload_round_trip", "select conv_id, turn, role, text as payload, true as intact from conversations")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_bytes(spark: SparkSession, path: str, first: int = 0, length: int | None = None) -> DataFrame:
     """path, size, data of whole files, or of a byte range of each."""
-    data = F.col("content") if not first and length is None else F.substring("content", first + 1, length if length is not None else 1 << 30)
+    data = F.col("content") if not first and length is None else F.substring("content", F.lit(first + 1), F.lit(length) if length is not None else F.length("content"))
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), data.alias("data"))
 
 
@@ -50,7 +50,7 @@ def read_xml(spark: SparkSession, path: str, schema: str) -> DataFrame:
     coded = ", payload64 string" if "payload" in names else ""
     df = spark.read.format("xml").option("rowTag", "packet").schema(schema + coded).load(path)
     if coded:
-        df = df.withColumn("payload", F.coalesce("payload", F.decode(F.unbase64(F.substring("payload64", 2, 1 << 30)), "UTF-8")))
+        df = df.withColumn("payload", F.coalesce("payload", F.decode(F.unbase64(F.substring("payload64", F.lit(2), F.length("payload64"))), "UTF-8")))
     return df.select(*names)
 
 

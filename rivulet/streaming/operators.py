@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +28,21 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def flushed(stream: DataFrame, name: str) -> DataFrame:
+    """Runs an aggregating stream to the end of what there is now, and gives all its groups, those that the watermark hasn't
+    passed too: input has ended, so they are whole. Each batch writes the groups anew; the last batch's are the result."""
+    spark = stream.sparkSession
+    out, state, last = shared_dir(spark, name), shared_dir(spark, f"{name}-state"), [-1]
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{batch}")
+        last[0] = max(last[0], batch)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/{last[0]}") if last[0] >= 0 else spark.createDataFrame([], stream.schema)
+
+
 def segments(stream: DataFrame, length: str, origin: str, late: str = "0 seconds") -> DataFrame:
     """Packets and bytes per stream and segment of fixed length; segments are anchored at origin, not at the epoch."""
     w = F.window("ts", length, startTime=origin)
@@ -51,28 +67,59 @@ def join_within(left: DataFrame, right: DataFrame, late: str, wait: str, how: st
     return left.withWatermark("ts", late).join(right.withWatermark("r_ts", late), on, how)
 
 
+def drain_join(left: DataFrame, right: DataFrame, late: str, wait: str, name: str) -> DataFrame:
+    """`join_within` to the end of what there is now. left needs an event_id. Left rows that still wait for a match then find
+    none, and so come out alone."""
+    found = drain(join_within(left, right, late, wait, "left_outer"), name)
+    waiting = drain(left, f"{name}-left").join(found.select("event_id").distinct(), "event_id", "left_anti")
+    return found.unionByName(waiting, allowMissingColumns=True)
+
+
+#: State of a reordered stream: the number that is due (-1 before any was given out), and what waits: numbers and times.
+_WAITING = "due long, waiting array<long>, held array<long>"
+
+
 def reorder(stream: DataFrame, most: int) -> DataFrame:
-    """pid, seq, ts in order of 16-bit seq: packets wait until they are next, or until `most` of their stream wait, when the
-    lowest is given out and the gap counted as lost. Repeats and packets that are too late are dropped."""
+    """pid, seq, ts, place in order of 16-bit seq, carried on over wraps: packets wait until they are next, or until `most` of
+    their stream wait, when the lowest is given out and the gap counted as lost. The first number of a stream is the lowest
+    of its first `most`. Repeats and packets that are too late are dropped. Rows without seq or ts are dropped."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         due, waiting, held = state.get if state.exists else (-1, [], [])
         queue = dict(zip(waiting, held, strict=True))
-        out = []
-        rows = [r for f in frames for r in f.itertuples(index=False)]
-        for r in sorted(rows, key=lambda r: r.ts):
-            if due < 0:
-                due = r.seq
-            at = due + ((r.seq - due + 32768) % 65536) - 32768
-            if at < due or at in queue:
-                continue
-            queue[at] = r.ts.value
-            while queue and (due in queue or len(queue) > most):
-                at = due if due in queue else min(queue)
-                out.append((key[0], at % 65536, pd.Timestamp(queue.pop(at), tz="UTC").tz_localize(None), at))
-                due = at + 1
+        heap, out = list(queue), []
+        heapq.heapify(heap)
+        for frame in frames:
+            times = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for seq, ts in zip(frame["seq"].astype("int64").tolist(), times, strict=True):
+                near = due if due >= 0 else heap[0] if heap else seq
+                at = near + ((seq - near + 32768) % 65536) - 32768
+                if at < due or at in queue:
+                    continue
+                queue[at] = ts
+                heapq.heappush(heap, at)
+                while queue and (due in queue or len(queue) > most):
+                    at = heapq.heappop(heap)
+                    out.append((key[0], at % 65536, pd.Timestamp(queue.pop(at), unit="us"), at))
+                    due = at + 1
         state.update((due, list(queue), list(queue.values())))
         yield pd.DataFrame(out, columns=["pid", "seq", "ts", "place"])
 
-    return stream.select("pid", "seq", "ts").groupBy("pid").applyInPandasWithState(run, "pid long, seq long, ts timestamp, place long", "due long, waiting array<long>, held array<long>", "append", GroupStateTimeout.NoTimeout)
+    whole = stream.where("seq is not null and ts is not null").select("pid", "seq", "ts")
+    schema = "pid long, seq long, ts timestamp, place long"
+    return whole.groupBy("pid").applyInPandasWithState(run, schema, _WAITING, "append", GroupStateTimeout.NoTimeout)
+
+
+def drain_reordered(stream: DataFrame, most: int, name: str) -> DataFrame:
+    """`reorder` to the end of what there is now; what then still waits is read from the stream's state and given out too."""
+    spark = stream.sparkSession
+    out, state = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
+    found = reorder(stream, most)
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    given = spark.read.schema(found.schema).parquet(out)
+    kept = spark.read.format("statestore").load(state).select(F.col("key.pid").cast("long").alias("pid"), F.col("value.groupState").alias("g"))
+    rest = kept.select("pid", F.explode(F.arrays_zip("g.waiting", "g.held")).alias("w"))
+    number = F.col("w.waiting")
+    return given.unionByName(rest.select("pid", (number % 65536).alias("seq"), F.timestamp_micros("w.held").alias("ts"), number.alias("place")))
