@@ -1,8 +1,10 @@
 """Operator 7, edit-aware token counts: a segment tree over each document's pre-tokens.
 
 Leaves hold the characters and tokens of blocks of pre-tokens, inner nodes their sums. An edit replaces characters; only the
-blocks that it touches, with one block of context on either side, are split and encoded anew, and the sums on their paths
-are renewed. The context grows until pre-token borders before and behind agree again, so counts equal a full encoding.
+blocks that it touches, with one block of context on either side, are split and encoded anew. They are cut out of the tree and
+the new ones put in by splitting and joining it, which renews the sums of a few paths (the tree stays balanced by chance, as
+a join draws its root in proportion to sizes). The context grows until pre-token borders before and behind agree again, so
+counts equal a full encoding. Trees are kept between calls as tables of blocks: `build_trees`, then `edit_trees`.
 
 Defined cases: a null or empty text has no tokens; edits are clipped to the text, in order of seq (ties: start, end, new text),
 each in coordinates of the text that the edits before it left; a document without edits keeps its count; edits of unknown
@@ -11,7 +13,8 @@ documents are ignored; repeated doc_ids each get all edits of that id; an empty
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -48,14 +51,26 @@ class Counter:
         return got
 
 
+class Node:
+    """A block and what stands before and behind it: sums of characters, tokens and blocks of the whole subtree."""
+
+    __slots__ = ("text", "own", "left", "right", "chars", "tokens", "count")
+
+    def __init__(self, text: str, own: int) -> None:
+        self.text, self.own = text, own
+        self.left: Node | None = None
+        self.right: Node | None = None
+        self.chars, self.tokens, self.count = len(text), own, 1
+
+
 class Tree:
-    """Blocks of whole pre-tokens with their texts and token counts, and a tree of sums over the blocks."""
+    """Blocks of whole pre-tokens with their texts and token counts, in a tree of sums."""
 
-    def __init__(self, text: str, counter: Counter) -> None:
+    def __init__(self, text: str, counter: Counter, blocks: list[tuple[str, int]] | None = None) -> None:
         self.counter = counter
-        self.encoded = 0  # characters encoded since the tree was built
-        self.blocks = self._blocks(text)
-        self._sums()
+        self.encoded = self.touched = 0  # characters encoded, and nodes whose sums were made anew
+        self.draw = random.Random(1).random
+        self.root = self._built(self._blocks(text) if blocks is None else blocks)
 
     def _blocks(self, text: str) -> list[tuple[str, int]]:
         """(text, tokens) of blocks that end with pre-tokens."""
@@ -70,68 +85,91 @@ class Tree:
         self.encoded += len(text)
         return out
 
-    def _sums(self) -> None:
-        level = [(len(t), n) for t, n in self.blocks] or [(0, 0)]
-        self.levels = [level]
-        while len(level) > 1:
-            level = [(sum(c for c, _ in level[i : i + 2]), sum(n for _, n in level[i : i + 2])) for i in range(0, len(level), 2)]
-            self.levels.append(level)
+    def _renewed(self, node: Node) -> Node:
+        self.touched += 1
+        node.chars, node.tokens, node.count = len(node.text), node.own, 1
+        for side in (node.left, node.right):
+            if side:
+                node.chars += side.chars
+                node.tokens += side.tokens
+                node.count += side.count
+        return node
+
+    def _built(self, blocks: list[tuple[str, int]]) -> Node | None:
+        if not blocks:
+            return None
+        mid = len(blocks) // 2
+        node = Node(*blocks[mid])
+        node.left, node.right = self._built(blocks[:mid]), self._built(blocks[mid + 1 :])
+        return self._renewed(node)
+
+    def _split(self, node: Node | None, at: int) -> tuple[Node | None, Node | None]:
+        """The blocks that end at or before character at, and the others."""
+        if node is None:
+            return None, None
+        before = node.left.chars if node.left else 0
+        if before + len(node.text) <= at:
+            node.right, rest = self._split(node.right, at - before - len(node.text))
+            return self._renewed(node), rest
+        first, node.left = self._split(node.left, at)
+        return first, self._renewed(node)
+
+    def _joined(self, a: Node | None, b: Node | None) -> Node | None:
+        if a is None or b is None:
+            return a or b
+        if self.draw() * (a.count + b.count) < a.count:
+            a.right = self._joined(a.right, b)
+            return self._renewed(a)
+        b.left = self._joined(a, b.left)
+        return self._renewed(b)
+
+    @staticmethod
+    def _outer(node: Node, first: bool) -> Node:
+        while (side := node.left if first else node.right) is not None:
+            node = side
+        return node
+
+    def _listed(self, node: Node | None) -> list[tuple[str, int]]:
+        return [] if node is None else [*self._listed(node.left), (node.text, node.own), *self._listed(node.right)]
+
+    @property
+    def blocks(self) -> list[tuple[str, int]]:
+        return self._listed(self.root)
 
     @property
     def chars(self) -> int:
-        return self.levels[-1][0][0]
+        return self.root.chars if self.root else 0
 
     @property
     def tokens(self) -> int:
-        return self.levels[-1][0][1]
-
-    def _find(self, at: int) -> tuple[int, int]:
-        """The block that holds character at (the last block for the end), and the characters before it."""
-        i = before = 0
-        for level in self.levels[-2::-1]:
-            i *= 2
-            if at - before >= level[i][0] and i + 1 < len(level):
-                before += level[i][0]
-                i += 1
-        return i, before
+        return self.root.tokens if self.root else 0
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters start to end by new."""
         start = max(0, min(start, self.chars))
         end = max(start, min(end, self.chars))
-        if not self.blocks:
-            self.blocks = self._blocks(new)
-            self._sums()
-            return
-        first, before = self._find(start)
-        last, _ = self._find(end)
-        left = first
-        while left > 0 and first - left < 1:
-            left -= 1
-            before -= len(self.blocks[left][0])
-        while left > 0 and self.blocks[left - 1][0][-1].isspace():  # white space looks ahead, so it may join what follows
-            left -= 1
-            before -= len(self.blocks[left][0])
-        right = min(len(self.blocks), last + 2)
-        while True:
-            old = "".join(t for t, _ in self.blocks[left:right])
-            # the next block's first pre-token shows whether its border still holds
-            ahead = self.blocks[right][0] if right < len(self.blocks) else ""
+        left, rest = self._split(self.root, start)
+        if left:  # one block of context, and more where white space, which looks ahead, ends the one before
+            at = left.chars - len(self._outer(left, False).text)
+            while True:
+                left, more = self._split(left, at)
+                rest = self._joined(more, rest)
+                if left is None or not (last := self._outer(left, False).text)[-1].isspace():
+                    break
+                at = left.chars - len(last)
+        before = left.chars if left else 0
+        middle, right = self._split(rest, end - before)
+        old, taken = "".join(t for t, _ in self._listed(middle)), 0
+        while right:
+            # the block that holds the end, one of context, and then until the border before the next one still holds
             text = old[: start - before] + new + old[end - before :]
-            if not ahead or self._border(text, ahead):
+            ahead = self._outer(right, True).text
+            if taken >= 2 and self._border(text, ahead):
                 break
-            right += 1
-        fresh = self._blocks(text)
-        same = len(fresh) == right - left
-        self.blocks[left:right] = fresh
-        if not same:
-            self._sums()
-            return
-        self.levels[0][left:right] = [(len(t), n) for t, n in fresh]
-        for below, level in zip(self.levels, self.levels[1:], strict=False):
-            left, right = left // 2, (right + 1) // 2
-            for i in range(left, right):
-                level[i] = (sum(c for c, _ in below[2 * i : 2 * i + 2]), sum(n for _, n in below[2 * i : 2 * i + 2]))
+            old, taken = old + ahead, taken + 1
+            _, right = self._split(right, len(ahead))
+        text = old[: start - before] + new + old[end - before :]
+        self.root = self._joined(self._joined(left, self._built(self._blocks(text))), right)
 
     def _border(self, text: str, ahead: str) -> bool:
         """Whether a pre-token ends where text does when ahead follows."""
@@ -152,6 +190,12 @@ def counter(path: str, pattern: str) -> Counter:
     return _LOADED[path, pattern]
 
 
+def in_order(changes: list[dict] | None) -> list[tuple[int, int, str]]:
+    """(start, end, new) of edits by seq; null fields count as 0 or empty, null edits as none."""
+    full = [(e["seq"] or 0, e["start"] or 0, e["end"] or 0, e["new"] or "") for e in changes or [] if e is not None]
+    return [e[1:] for e in sorted(full)]
+
+
 def count_with_edits(docs: DataFrame, edits: Column, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens (of the text), n_tokens_edited (after the edits), n_encoded (characters encoded for the edits).
 
@@ -168,8 +212,8 @@ def count_with_edits(docs: DataFrame, edits: Column, path: str, pattern: str) ->
                 tree = Tree(text, own)
                 before.append(tree.tokens)
                 tree.encoded = 0
-                for e in sorted((e for e in changes or [] if e is not None), key=lambda e: (e["seq"] or 0, e["start"] or 0, e["end"] or 0, e["new"] or "")):
-                    tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
+                for e in in_order(changes):
+                    tree.edit(*e)
                 after.append(tree.tokens)
                 encoded.append(tree.encoded)
             return {"doc_id": part.column("doc_id"), "n_tokens": before, "n_tokens_edited": after, "n_encoded": encoded}
@@ -179,6 +223,49 @@ def count_with_edits(docs: DataFrame, edits: Column, path: str, pattern: str) ->
     return map_texts(rows, "doc_id long, n_tokens long, n_tokens_edited long, n_encoded long", make)
 
 
+_BLOCKS = "blocks array<struct<text:string,tokens:int>>"
+
+
+def build_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens and blocks: what is kept of each document's tree, to be written as a table."""
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        own = counter(path, pattern)
+
+        def work(part: pa.RecordBatch) -> dict:
+            trees = [Tree(text, own) for text in part.column("text").to_pylist()]
+            blocks = [[{"text": t, "tokens": n} for t, n in tree.blocks] for tree in trees]
+            return {"doc_id": part.column("doc_id"), "n_tokens": [t.tokens for t in trees], "blocks": blocks}
+
+        return work
+
+    return map_texts(id_text(docs), f"doc_id long, n_tokens long, {_BLOCKS}", make)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The table of build_trees after edits (doc_id, seq, start, end, new), with n_encoded: the characters encoded for them.
+    Trees without edits pass by; the others are read from their blocks, so only edited regions are encoded."""
+    listed = edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias("edits"))
+    joined = trees.select("doc_id", "n_tokens", "blocks").join(listed, "doc_id", "left")
+    plain = joined.where("edits is null").select("doc_id", "n_tokens", "blocks", F.lit(0).cast("long").alias("n_encoded"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(path, pattern)
+        for batch in batches:
+            for row in batch.to_pylist():
+                tree = Tree("", own, [(b["text"], b["tokens"]) for b in row["blocks"] or []])
+                tree.encoded = 0
+                for e in in_order(row["edits"]):
+                    tree.edit(*e)
+                out = {"doc_id": row["doc_id"], "n_tokens": tree.tokens, "blocks": [{"text": t, "tokens": n} for t, n in tree.blocks], "n_encoded": tree.encoded}
+                yield pa.RecordBatch.from_pylist([out], schema=target)
+
+    schema = f"doc_id long, n_tokens long, {_BLOCKS}, n_encoded long"
+    block = pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int32())]))
+    target = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("blocks", block), ("n_encoded", pa.int64())])
+    return plain.unionByName(joined.where("edits is not null").mapInArrow(run, schema))
+
+
 def gathered(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """docs (doc_id, text) with column edits from a table (doc_id, seq, start, end, new)."""
     own = edits.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias("edits"))

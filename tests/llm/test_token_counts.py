@@ -38,6 +38,37 @@ def test_only_regions_are_encoded():
     assert 0 < tree.encoded < 6 * C.LEAF_CHARS
 
 
+def test_insertions_touch_few_nodes():
+    """Edits that change the number of blocks renew the sums of a few paths, not of the whole tree."""
+    rng = random.Random(8)
+    text = "some words of a long text, again and again. " * 20_000
+    tree = C.Tree(text, C.counter(PATH, P.PATTERN))
+    assert len(tree.blocks) > 3000
+    for size in (0, 37, 200, 1000):
+        for _ in range(20):
+            tree.touched = 0
+            at = rng.randrange(tree.chars)
+            tree.edit(at, at + rng.choice([0, 0, 700]), "put in " * (size // 7))
+            assert tree.touched < 400
+
+
+def test_kept_trees(docs, spark):
+    """A table of trees, edited twice, counts what the edited texts hold and encodes little more than the edits."""
+    changes = "doc_id long, seq int, start int, end int, new string"
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    trees = C.build_trees(docs, PATH, P.PATTERN)
+    for turn in range(2):
+        rows = [(i, 1, 5 * turn, 5 * turn + 3, "new words ") for i in list(texts)[::3]]
+        done = C.edit_trees(trees, spark.createDataFrame(rows, changes), PATH, P.PATTERN)
+        for i, _, a, b, new in rows:
+            texts[i] = texts[i][:a] + new + texts[i][b:]
+        got = done.collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: count(t) for i, t in texts.items()}
+        assert all("".join(b["text"] for b in r["blocks"] or []) == texts[r["doc_id"]] for r in got)
+        assert all(r["n_encoded"] < 10 * C.LEAF_CHARS for r in got if len(texts[r["doc_id"]]) > 10_000 and " " in texts[r["doc_id"]][:500])
+        trees = spark.createDataFrame(got, done.schema)
+
+
 def test_tables(docs, edges, nothing, spark):
     changes = spark.createDataFrame([(11, 1, 0, 3, "new "), (11, 2, 0, 0, "x"), (9, 1, 10, 50_000, ""), (404, 1, 0, 0, "x"), (2, 1, 5, 9, "put in")], "doc_id long, seq int, start int, end int, new string")
     gathered = C.gathered(edges, changes)
