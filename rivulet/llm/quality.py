@@ -1,7 +1,9 @@
 """Operator 6, quality rules: line-first cleaning.
 
-Every line is judged by itself: punctuation, navigation and boilerplate rules. Failing lines are removed, and a document
-goes if it then has lost too much of its text, or if it fails the base rules.
+Every line is judged by itself: punctuation, navigation and boilerplate rules, in four languages, and lines that the corpus
+itself shows to be furniture: short ones that stand behind many different lines, as menus and notices do (a line of a text
+that is copied as a whole always stands behind the same one). Failing lines are removed, and a document goes if it then has
+lost too much of its text, or if it fails the base rules.
 
 A line with no word is neutral: it stays, and counts for nothing. Defined cases: a null or empty text has no words and so
 fails the base; repeated rows are each judged alike; an empty table gives no row; extra columns are ignored.
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +26,31 @@ from rivulet.llm.common import documents, id_text, map_texts
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _MARK = re.compile(r"[^\w\s]|_")
-#: What the rules below the marks' need at least: a symbol, two capitals in a row, a character beyond Latin-1, or a word of theirs.
-_SUSPECT = re.compile(r"[#*$%&|<>»©]|[A-ZÀ-Þ][\W\d_]*[A-ZÀ-Þ]|[^\x00-ÿ]|(?i:\b(?:home|menu|skip|next|previous|back|read|click|share|log|login|sign|subscribe|rights|terms|policy|cookies?|copyright|lorem|javascript|powered|licensed)\b)")
-#: Lines that open or close with these are page furniture.
-_NAVIGATION = re.compile(r"^\s*(?:home|menu|skip to|next|previous|back to top|read more|click here|share this|log ?in|sign (?:in|up)|subscribe)\b.{0,60}$|(?: [|>»] .*){2,}", re.IGNORECASE)
-_BOILERPLATE = re.compile(r"\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|copyright (?:©|\(c\))|lorem ipsum|javascript (?:is )?(?:disabled|required)|powered by)\b|licensed under the", re.IGNORECASE)
+# What opens a line of navigation, and what a notice says, in English, French, German and Spanish.
+NAVIGATION = (
+    "home", "menu", "skip to", "next", "previous", "back to top", "read more", "click here", "share this", "login", "log in", "sign in", "sign up", "subscribe",
+    "accueil", "lire la suite", "cliquez ici", "partager", "se connecter", "s'inscrire", "retour en haut", "page suivante", "page précédente",
+    "startseite", "weiterlesen", "mehr lesen", "hier klicken", "teilen", "anmelden", "registrieren", "nach oben", "nächste seite", "vorherige seite",
+    "inicio", "leer más", "haga clic aquí", "compartir", "iniciar sesión", "registrarse", "volver arriba", "página siguiente", "página anterior",
+)
+NOTICES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "uses cookies", "copyright ©", "copyright (c)",
+    "lorem ipsum", "javascript is disabled", "javascript is required", "javascript disabled", "javascript required", "powered by", "licensed under the",
+    "tous droits réservés", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "utilise des cookies", "propulsé par",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "verwendet cookies", "bereitgestellt von",
+    "todos los derechos reservados", "condiciones de uso", "aviso legal", "política de privacidad", "utiliza cookies", "desarrollado por",
+)
+
+
+def _any(phrases: tuple[str, ...]) -> str:
+    return "|".join(re.escape(p) for p in phrases)
+
+
+#: What the rules below the marks' need at least: a symbol, two capitals in a row, a character beyond Latin-1, or a phrase of theirs.
+_SUSPECT = re.compile(rf"[#*$%&|<>»©]|[A-ZÀ-Þ][\W\d_]*[A-ZÀ-Þ]|[^\x00-ÿ]|(?i:{_any(NAVIGATION + NOTICES)})")
+#: Lines that open with a phrase of navigation and hardly go on, or that are parted by bars.
+_NAVIGATION = re.compile(rf"^\s*(?:{_any(NAVIGATION)})\b.{{0,60}}$|(?: [|>»] .*){{2,}}", re.IGNORECASE)
+_BOILERPLATE = re.compile(rf"\b(?:{_any(NOTICES)})", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -39,6 +62,9 @@ class Rules:
     least_marks: int = 3  #: with as many marks at least, so that a short sentence stays
     shouted_share: float = 0.6  #: upper-case letters per letter beyond which a line of ten letters or more fails
     lost_share: float = 0.5  #: share of the word characters in removed lines at which the document goes
+    furniture_chars: int = 200  #: characters of a line beyond which the corpus can't make it furniture
+    furniture_share: float = 1 / 5000  #: lines that it stands behind, for each document of the corpus, at which it is furniture,
+    furniture_least: int = 20  #: and so many at least
     min_words: int = 50
     repeat_percent: int = 50
 
@@ -58,6 +84,26 @@ def line_fails(line: str, rules: Rules) -> bool:
     return bool(_NAVIGATION.search(line) or _BOILERPLATE.search(line))
 
 
+def furniture(docs: DataFrame, rules: Rules) -> frozenset[int]:
+    """Hashes of the short lines that stand behind many different lines of all documents, counted in two steps: distinct
+    pairs of a line and the one before it, then pairs by line. There are at most 1 / furniture_share times the mean number of
+    distinct lines of a document."""
+    least = max(rules.furniture_least, int(rules.furniture_share * docs.count()))
+    own = F.col("text")
+    lines = F.transform(F.split(own, "\n"), lambda line: F.btrim(line, F.lit(" \t\r")))
+    hashed = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), F.length(line).alias("n")))
+    paired = F.transform("l", lambda x, i: F.struct(x["h"].alias("h"), x["n"].alias("n"), F.when(i > 0, F.get("l", i - 1)["h"]).alias("before")))
+    pairs = id_text(docs).select(hashed.alias("l")).select(F.explode(paired).alias("p")).where(f"p.n > 0 and p.n <= {rules.furniture_chars}")
+    many = pairs.select("p.h", "p.before").distinct().groupBy("h").count().where(f"count >= {least}")
+    return frozenset(r["h"] for r in many.select("h").collect())
+
+
+def line_hash(line: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
 def repeated_words(words: list[str]) -> int:
     """Words inside 3-word windows that occur twice or more."""
     n = len(words) - 2
@@ -77,7 +123,7 @@ def repeated_words(words: list[str]) -> int:
     return int(hit.sum())
 
 
-def judge(text: str, rules: Rules) -> tuple[int, int, int, int, int, bool, bool, str]:
+def judge(text: str, rules: Rules, common: frozenset[int] = frozenset()) -> tuple[int, int, int, int, int, bool, bool, str]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned text."""
     words = _WORD.findall(text)
     chars = sum(map(len, words))
@@ -92,7 +138,8 @@ def judge(text: str, rules: Rules) -> tuple[int, int, int, int, int, bool, bool,
             continue
         dups += line in seen
         seen.add(line)
-        if line_fails(line, rules):
+        bare = line.strip(" \t\r")
+        if line_fails(line, rules) or common and len(bare) <= rules.furniture_chars and line_hash(bare) in common:
             lost += sum(map(len, _WORD.findall(line)))
         else:
             good.append(line)
@@ -103,10 +150,10 @@ def judge(text: str, rules: Rules) -> tuple[int, int, int, int, int, bool, bool,
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
 
 
-def _mapper(rules: Rules, names: tuple[str, ...]) -> Callable[[], Callable[[pa.RecordBatch], dict]]:
+def _mapper(rules: Rules, common: frozenset[int], names: tuple[str, ...]) -> Callable[[], Callable[[pa.RecordBatch], dict]]:
     def make() -> Callable[[pa.RecordBatch], dict]:
         def work(part: pa.RecordBatch) -> dict:
-            cols = dict(zip(_NAMES, zip(*(judge(t or "", rules) for t in part.column("text").to_pylist()), strict=True), strict=True))
+            cols = dict(zip(_NAMES, zip(*(judge(t or "", rules, common) for t in part.column("text").to_pylist()), strict=True), strict=True))
             return {n: cols[n] if n in cols else part.column(n) for n in names}
 
         return work
@@ -114,10 +161,13 @@ def _mapper(rules: Rules, names: tuple[str, ...]) -> Callable[[], Callable[[pa.R
     return make
 
 
+_COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
+
+
 def line_first_cleaning(docs: DataFrame, rules: Rules = Rules(), with_text: bool = False) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and, if asked for, clean_text. No shuffle."""
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean" + ", clean_text string" * with_text
-    return map_texts(id_text(docs), schema, _mapper(rules, ("doc_id", *_NAMES[: 7 + with_text])))
+    """doc_id, the base counts, base_failed, kept and, if asked for, clean_text. Only hashes of lines are shuffled."""
+    schema = _COUNTS + ", clean_text string" * with_text
+    return map_texts(id_text(docs), schema, _mapper(rules, furniture(docs, rules), ("doc_id", *_NAMES[: 7 + with_text])))
 
 
 def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -125,7 +175,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     names = docs.columns
     packed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in names if c != "text"]).alias("rest"))
     rest = packed.schema["rest"].dataType.simpleString()
-    out = map_texts(packed, f"kept boolean, clean_text string, rest {rest}", _mapper(rules, ("kept", "clean_text", "rest")))
+    out = map_texts(packed, f"kept boolean, clean_text string, rest {rest}", _mapper(rules, furniture(docs, rules), ("kept", "clean_text", "rest")))
     own = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     return out.where("kept").select(*[(own[c] if own.get(c) is not None else F.col("rest").getField(c)).alias(c) for c in names])
 

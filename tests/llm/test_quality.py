@@ -53,6 +53,59 @@ def test_suspicion_misses_no_failing_line(docs):
             assert not Q._NAVIGATION.search(line) and not Q._BOILERPLATE.search(line)
 
 
+def test_notices_of_four_languages():
+    rules = Q.Rules()
+    for line in ("All rights reserved.", "Tous droits réservés.", "Politique de confidentialité", "Alle Rechte vorbehalten.", "Todos los derechos reservados", "Weiterlesen", "Leer más", "Lire la suite"):
+        assert Q.line_fails(line, rules), line
+    for line in ("Wir lesen weiter, bis die Sonne aufgeht.", "El inicio de la historia fue tranquilo.", "The policy of the harbour was private."):
+        assert not Q.line_fails(line, rules), line
+
+
+def test_furniture_is_what_stands_behind_many_lines(spark):
+    """A line in many different places is furniture; one in as many copies of a text is not. Against counting in Python."""
+    rows = [(i, f"Story {i} began on a day of rain.\nFollow us for daily news\nIt ended {i} days later.") for i in range(30)]
+    rows += [(100 + i, "The same old tale is told.\nNobody changes a word of it.") for i in range(60)]
+    rows += [(200, None), (201, ""), (202, "\n\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    behind = {}
+    for _, text in rows:
+        lines = [x.strip(" \t\r") for x in (text or "").split("\n")]
+        for a, b in zip([None, *lines], lines, strict=False):
+            behind.setdefault(b, set()).add(a)
+    want = {Q.line_hash(x) for x, places in behind.items() if x and len(places) >= 20}
+    assert Q.furniture(docs, Q.Rules()) == want == {Q.line_hash("Follow us for daily news")}
+    hashed = spark.createDataFrame([("naïve café — 日本",), ("",), ("a" * 100,)], "s string").selectExpr("s", "xxhash64(s) as h").collect()
+    assert all(Q.line_hash(r["s"]) == r["h"] for r in hashed)
+
+
+def plain_verdict(text, common):
+    """The verdict by the rules as they are described, without shortcuts."""
+    rules, chars, lost = Q.Rules(), 0, 0
+    lower = lambda phrases: [p.lower() for p in phrases]
+    for line in text.split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if not words:
+            continue
+        n, letters, low = len(line), sum(c.isalpha() for c in line), line.lower()
+        marks = sum(not (c.isalnum() or c.isspace()) and not re.match(r"[^\W_]", c) for c in line)
+        bad = marks >= rules.least_marks and marks > rules.mark_share * n
+        bad |= sum(c in "#*$%&|<>" for c in line) > rules.symbol_share * n
+        bad |= letters >= 10 and sum(c.isupper() for c in line) > rules.shouted_share * letters
+        bad |= len(re.findall(r" [|>»] ", line)) >= 2 or any(low.lstrip().startswith(p) and re.match(r"(?:\W.{0,59})?$", low.lstrip()[len(p) :]) for p in lower(Q.NAVIGATION))
+        bad |= any(re.search(rf"\b{re.escape(p)}", low) for p in lower(Q.NOTICES))
+        bad |= n <= rules.furniture_chars and Q.line_hash(line.strip(" \t\r")) in common
+        size = sum(map(len, words))
+        chars, lost = chars + size, lost + size * bad
+    return lost < rules.lost_share * chars
+
+
+def test_verdicts_against_plain_rules(docs, edges):
+    for df in (docs, edges.where("doc_id < 9 or doc_id > 10 or doc_id is null")):
+        common = Q.furniture(df, Q.Rules())
+        for r, text in zip(Q.line_first_cleaning(df).select("kept", "base_failed").collect(), (x["text"] or "" for x in df.select("text").collect()), strict=True):
+            assert r["kept"] == (not r["base_failed"] and plain_verdict(text, common))
+
+
 def test_columns_stay(edges):
     out = Q.clean_documents(edges)
     assert out.columns == edges.columns and out.schema["n_chars"].dataType == edges.schema["n_chars"].dataType
