@@ -154,3 +154,18 @@ def counter_mode(data: Column, key: Column, vector: Column) -> Column:
 def rolled_key(keys: list[bytes], index: Column, every: int) -> Column:
     """The key of row number `index` if keys change every so many rows."""
     return F.element_at(F.array(*[F.lit(k) for k in keys]), (F.floor(index / every) % len(keys) + 1).cast("int"))
+
+
+def read_long(data: Column, at: int, little: bool = False) -> Column:
+    """Eight bytes at a 0-based offset as a signed number."""
+    first, last = read_uint(data, at, 4, little), read_uint(data, at + 4, 4, little)
+    return F.shiftleft(last if little else first, 32).bitwiseOR(first if little else last)
+
+
+def write_bits(fields: list[tuple[Column, int]]) -> Column:
+    """Unsigned numbers of given numbers of bits (63 in all at most), the first in the highest bits, filled up to whole bytes."""
+    total = sum(n for _, n in fields)
+    value = F.lit(0).cast("long")
+    for x, n in fields:
+        value = F.shiftleft(value, n).bitwiseOR(x.cast("long").bitwiseAND((1 << n) - 1))
+    return pack_uint(F.shiftleft(value, -total % 8), -(-total // 8))

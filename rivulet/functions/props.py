@@ -93,3 +93,28 @@ def template(text: str, index: str = "seq") -> Column:
 def assign(df: DataFrame, **values: Column | None) -> DataFrame:
     """Sets columns; None removes one."""
     return df.withColumns({k: v for k, v in values.items() if v is not None}).drop(*[k for k, v in values.items() if v is None])
+
+
+def source_matches(name: Column, pattern: str) -> Column:
+    """A source name against a pattern: `AB*` takes what begins with AB, `*` all, and anything else itself."""
+    return name.startswith(pattern[:-1]) if pattern.endswith("*") else name == pattern
+
+
+def list_insert(values: Column, at: int, value: Column) -> Column:
+    """values with one more at a 0-based place; beyond the end it comes last."""
+    return F.concat(F.slice(values, 1, at), F.array(value), F.slice(values, at + 1, F.greatest(F.size(values) - at, F.lit(0))))
+
+
+def list_remove_at(values: Column, at: int) -> Column:
+    return F.filter(values, lambda _, i: i != at)
+
+
+def list_swap(values: Column, a: int, b: int) -> Column:
+    """values with two 0-based places exchanged, if both are there."""
+    other = lambda x, i: F.when(i == a, F.get(values, F.lit(b))).when(i == b, F.get(values, F.lit(a))).otherwise(x)
+    return F.when(F.size(values) > max(a, b), F.transform(values, other)).otherwise(values)
+
+
+def list_find(values: Column, value: Column) -> Column:
+    """0-based place of the first equal value, -1 if there is none."""
+    return F.array_position(values, value) - 1

@@ -141,3 +141,22 @@ def decode_utf16(data: Column) -> Column:
     rest = lambda n: F.substring(data, F.lit(n), F.length(data))
     head = F.hex(F.substring(data, 1, 3))
     return F.when(head.startswith("FFFE"), F.decode(rest(3), "UTF-16LE")).when(head.startswith("FEFF"), F.decode(rest(3), "UTF-16BE")).when(head == "EFBBBF", F.decode(rest(4), "UTF-8")).otherwise(F.decode(data, "UTF-8"))
+
+
+#: Language names and codes of two and three letters (fixed values; pass a map of your own for more).
+LANGUAGES = {
+    "en": ("eng", "English"), "fr": ("fra", "French"), "de": ("deu", "German"), "es": ("spa", "Spanish"), "it": ("ita", "Italian"),
+    "pt": ("por", "Portuguese"), "nl": ("nld", "Dutch"), "sv": ("swe", "Swedish"), "pl": ("pol", "Polish"), "ru": ("rus", "Russian"),
+    "zh": ("zho", "Chinese"), "ja": ("jpn", "Japanese"), "ko": ("kor", "Korean"), "ar": ("ara", "Arabic"), "hi": ("hin", "Hindi"),
+}
+
+
+def language(code: Column, languages: dict[str, tuple[str, str]] = LANGUAGES) -> Column:
+    """struct(two, three, name) of a language given by either code or its name, region and letter case aside; null if unknown."""
+    entries = {k.lower(): (two, three, name) for two, (three, name) in languages.items() for k in (two, three, name)}
+    table = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), F.struct(*[F.lit(c).alias(n) for c, n in zip(v, ("two", "three", "name"), strict=True)]))])
+    return F.try_element_at(table, F.lower(F.regexp_extract(code, "^[^-_]*", 0)))
+
+
+def is_legal_utf8(data: Column) -> Column:
+    return F.is_valid_utf8(data.cast("string"))

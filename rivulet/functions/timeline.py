@@ -116,3 +116,50 @@ def ntp_diff_ms(a: Column, b: Column) -> Column:
 def ntp_to_ms(ntp: Column) -> Column:
     """UTC milliseconds, rounded to the nearest."""
     return (ntp_seconds(ntp) - NTP_EPOCH) * 1000 + F.shiftrightunsigned(ntp.bitwiseAND((1 << 32) - 1) * 1000 + (1 << 31), 32)
+
+
+def utc_ms(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """Milliseconds since 1970 of a UTC calendar date and time; null for a day that isn't in the calendar."""
+    date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day))
+    return F.unix_date(date).cast("long") * 86_400_000 + (hour * 3600 + minute * 60 + second) * F.lit(1000).cast("long")
+
+
+#: Month names of mail dates (fixed values).
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def parse_date(text: Column) -> Column:
+    """UTC milliseconds of an ISO date (yyyy-mm-ddThh:mm:ss[.fff][Z|±hh:mm], no zone is UTC) or a mail date ([Www, ]dd Mon yyyy
+    hh:mm:ss [GMT|±hhmm]); null for anything else."""
+    iso = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?(?:Z|([+-])(\d{2}):?(\d{2}))?$"
+    mail = r"^(?:[A-Z][a-z]{2},? )?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) (\d{2}):(\d{2}):(\d{2})(?: (?:GMT|UTC|([+-])(\d{2})(\d{2})))?$"
+    number = lambda form, i: F.concat(F.lit("0"), F.regexp_extract(text, form, i)).cast("int")
+
+    def zone(form: str, i: int) -> Column:
+        ms = (number(form, i + 1) * 60 + number(form, i + 2)) * 60_000
+        return F.when(F.regexp_extract(text, form, i) == "-", -ms).otherwise(ms)
+
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(text, mail, 2)).cast("int")
+    fraction = F.rpad(F.substring(F.regexp_extract(text, iso, 7), 1, 3), 3, "0").cast("int")
+    by_iso = utc_ms(*[number(iso, i) for i in range(1, 7)]) + fraction - zone(iso, 8)
+    by_mail = utc_ms(number(mail, 3), month, number(mail, 1), *[number(mail, i) for i in (4, 5, 6)]) - zone(mail, 7)
+    return F.when(text.rlike(iso), by_iso).when(text.rlike(mail), by_mail)
+
+
+def range_spec(text: Column, fps: int = 25) -> Column:
+    """struct(kind, value) of a range border: T times, D durations and dates in ms, TC time codes hh:mm:ss:ff and F frames in
+    frames, S sizes in bytes, SAP without value; null for anything else."""
+    code = r"^TC(\d{1,2}):(\d{2}):(\d{2}):(\d{2})$"
+    part = lambda i: F.concat(F.lit("0"), F.regexp_extract(text, code, i)).cast("long")
+    frames = ((part(1) * 60 + part(2)) * 60 + part(3)) * fps + part(4)
+    rest = parse_number(F.substring(text, 2, 40)).cast("long")
+    made = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("value"))
+    return (
+        F.when(text == "SAP", made("SAP", F.lit(None)))
+        .when(text.rlike(code), made("TC", frames))
+        .when(parse_range_time(text).isNotNull(), made("T", parse_range_time(text)))
+        .when(text.rlike(r"^F\d+$"), made("F", rest))
+        .when(text.rlike(r"^D\d"), made("D", rest))
+        .when(text.rlike(r"^S\d"), made("S", rest))
+        .when(parse_date(text).isNotNull(), made("date", parse_date(text)))
+    )

@@ -119,3 +119,21 @@ def latest_start(df: DataFrame) -> DataFrame:
 def ranked_last(df: DataFrame, by: list[str], order: Column, n: int) -> DataFrame:
     """The n last rows of each group by order. Windows with a row_number limit keep n rows per task before the shuffle."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_r") <= n).drop("_r")
+
+
+def count_value(df: DataFrame, column: str, value: object, *by: str) -> DataFrame:
+    """How many rows of each group hold a value."""
+    return df.groupBy(*by).agg(F.count_if(F.col(column).eqNullSafe(F.lit(value))).alias("count"))
+
+
+def durations(df: DataFrame, ts: str = "cts") -> DataFrame:
+    """pid, duration of each stream (its last end, from its first packet), and total, the longest of all."""
+    per = df.groupBy("pid").agg((F.max(F.col(ts) + F.col("dur")) - F.min(ts)).alias("duration"))
+    longest = per.agg(F.max("duration").alias("total"))  # one row
+    return per.withColumn("_one", F.lit(1)).join(F.broadcast(longest.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def field_statistics(df: DataFrame, props: str) -> DataFrame:
+    """field, rows, distinct values and longest value of all fields of a property map."""
+    each = df.select(F.explode(props).alias("field", "value"))
+    return each.groupBy("field").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("value").alias("values"), F.max(F.length("value")).alias("longest"))

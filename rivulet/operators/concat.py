@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.scan import ordered_fold
+from rivulet.operators.packets import chunk_of
+from rivulet.operators.scan import ordered_fold, scan
 from rivulet.operators.windows import unwrap_sequence
 
 
@@ -51,9 +52,10 @@ def splice(main: DataFrame, other: DataFrame, out_ts: int, in_ts: int | None = N
     return own.drop("_one", "_first", "_len").unionByName(new.drop("_one", "_first", "_len"), allowMissingColumns=True)
 
 
-def file_order(name: str) -> list[Column]:
-    """Order of file names: shorter ones first, then by bytes."""
-    return [F.length(name).asc(), F.col(name).asc()]
+def file_order(name: str, by: str = "name", size: str = "size", date: str = "date") -> list[Column]:
+    """Order of files: by name shorter ones first, then by bytes; by size or by date the smallest or oldest first, then by name."""
+    first = {"name": [], "size": [F.col(size).asc()], "date": [F.col(date).asc()]}[by]
+    return [*first, F.length(name).asc(), F.col(name).asc()]
 
 
 def merged(streams: DataFrame) -> DataFrame:
@@ -85,3 +87,31 @@ def interleave(df: DataFrame, most: int, order: list[str]) -> DataFrame:
 def fan_out(df: DataFrame, property_name: str, path: str) -> None:
     """One folder for each value of a property."""
     df.write.mode("overwrite").partitionBy(property_name).parquet(path)
+
+
+def presentation_order(df: DataFrame, ts: str = "cts", tie: str = "event_id") -> DataFrame:
+    """place: 0-based number of each packet of a stream by presentation time, whatever order it was sent in."""
+    out = scan(df, ["pid"], [ts, tie], chunk_of(F.col(ts)), sums={"_n": F.lit(1)})
+    return out.withColumn("place", F.col("_n") - 1).drop("_n")
+
+
+def several(sources: list[DataFrame]) -> DataFrame:
+    """Sources that play at once as one table; src numbers them, and columns that one lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.withColumn("src", F.lit(i)) for i, s in enumerate(sources)])
+
+
+def append(first: DataFrame, second: DataFrame, aligned: bool = True) -> DataFrame:
+    """second behind first. aligned: all of its streams move by one offset, so that they stay in step; else each stream follows
+    on from its own end (a stream that first lacks follows from 0)."""
+    if aligned:
+        return concatenate([first, second])
+    ends = first.groupBy(F.col("pid").alias("_p")).agg(F.max(F.col("cts") + F.col("dur")).alias("_end"))
+    starts = second.groupBy(F.col("pid").alias("_q")).agg(F.min("cts").alias("_begin"))
+    moved = second.join(starts, F.col("pid").eqNullSafe(F.col("_q"))).join(ends, F.col("pid").eqNullSafe(F.col("_p")), "left")
+    moved = moved.withColumn("cts", F.col("cts") - F.col("_begin") + F.coalesce("_end", F.lit(0))).drop("_p", "_q", "_end", "_begin")
+    return first.withColumn("src", F.lit(0)).unionByName(moved.withColumn("src", F.lit(1)))
+
+
+def to_destinations(df: DataFrame, destinations: list[str]) -> DataFrame:
+    """Every packet for every destination of a short list."""
+    return df.withColumn("destination", F.explode(F.array(*map(F.lit, destinations))))

@@ -103,3 +103,43 @@ def chapters(text: DataFrame) -> DataFrame:
     at = F.regexp_extract("line", r"^(\S+)", 1)
     at = F.when(at.contains("."), at).otherwise(F.concat(at, F.lit(".000")))
     return lines.select("pid", "number", parse_clock(at).alias("start"), F.regexp_extract("line", r"^\S+\s+(.*)$", 1).alias("name"))
+
+
+def insert_samples(samples: DataFrame, new: DataFrame) -> DataFrame:
+    """samples with new ones (pid, number, ...) put in before the sample of their number (beyond the last: behind it), all
+    numbered anew from 0. Several new ones at a number keep the order of `place`, if they have it."""
+    place = F.col("place") if "place" in new.columns else F.lit(0)
+    both = samples.withColumn("_new", F.lit(1)).withColumn("_place", F.lit(0)).unionByName(new.withColumn("_place", place).drop("place").withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    out = scan(both, ["pid"], ["number", "_new", "_place"], chunk_of(F.col("number"), 100_000), sums={"_n": F.lit(1)})
+    return out.withColumn("number", F.col("_n") - 1).drop("_n", "_new", "_place")
+
+
+def shadowed(samples: DataFrame, shadows: DataFrame, *columns: str) -> DataFrame:
+    """Columns of each sample from the random-access sample that stands in for it (pid, number, shadow), as shadow_<column>."""
+    there = samples.select("pid", F.col("number").alias("shadow"), *[F.col(c).alias(f"shadow_{c}") for c in columns])
+    return samples.join(shadows, ["pid", "number"], "left").join(there, ["pid", "shadow"], "left")
+
+
+def storage_offsets(samples: DataFrame, interleave: int | None = None) -> DataFrame:
+    """Byte offset of each sample (pid, number, cts, size) in a file. Flat: track after track; interleaved: tracks take turns
+    every `interleave` ticks. Running sums go over chunks of tracks or of turns, so no task holds the file."""
+    turn = F.lit(0) if interleave is None else F.floor(F.col("cts") / interleave)
+    one = samples.withColumn("_file", F.lit(0)).withColumn("_turn", turn)
+    chunk = F.floor(F.col("pid") / 16) if interleave is None else F.col("_turn")
+    out = scan(one, ["_file"], ["_turn", "pid", "number"], chunk, sums={"_end": F.col("size")})
+    return out.withColumn("offset", F.col("_end") - F.col("size")).drop("_file", "_turn", "_end")
+
+
+def change_items(items_of: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """Items (item_id, ...) without those of gone (item_id), and with new ones in place of any of the same id."""
+    left = items_of.join(gone.select("item_id").unionByName(new.select("item_id")), "item_id", "left_anti")
+    return left.unionByName(new, allowMissingColumns=True)
+
+
+def primary_item(items_of: DataFrame, item_id: int) -> DataFrame:
+    return items_of.withColumn("is_primary", F.col("item_id") == item_id)
+
+
+def item_groups(items_of: DataFrame, kind: Column) -> DataFrame:
+    """group, members and the least item of each group of items."""
+    return items_of.groupBy(kind.alias("group")).agg(F.count(F.lit(1)).alias("members"), F.min("item_id").alias("first"))

@@ -58,3 +58,14 @@ def indexed(df: DataFrame, chunk: Column, order: list[str], name: str = "seq") -
     """A 0-based number within each stream."""
     out = scan(df, ["pid"], order, chunk, sums={"_n": F.lit(1)})
     return out.withColumn(name, F.col("_n") - 1).drop("_n")
+
+
+def forward(df: DataFrame, protected: bool | None = None, most: int | None = None, flag: str = "encrypted", layer: str = "layer") -> DataFrame:
+    """Packets that are protected (False: clear ones; None: both), and of layers up to `most`. A null flag counts as clear."""
+    out = df if protected is None else df.where(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)) == protected)
+    return out if most is None else layers_up_to(out, most, layer)
+
+
+def split_layers(df: DataFrame, layer: str = "layer", step: int = 1000) -> DataFrame:
+    """Each layer as a stream of its own: number pid * step + layer."""
+    return df.withColumn("pid", F.col("pid") * step + F.col(layer))

@@ -193,3 +193,16 @@ def scene_changes(df: DataFrame, error: Column, threshold: float) -> DataFrame:
     error is over `vector` and `previous`."""
     w = Window.partitionBy("pid").orderBy("seq")
     return df.withColumn("previous", F.lag("vector").over(w)).withColumn("error", error).where(F.col("previous").isNull() | (F.col("error") > threshold))
+
+
+def split_by_size_at_sync(df: DataFrame, most: int, order: list[str] = ORDER) -> DataFrame:
+    """pid, event_id, part: a part ends before the first random-access packet at which it holds `most` bytes or more."""
+
+    def step(state: tuple, row: dict) -> tuple[tuple, list[dict]]:
+        part, held = state
+        if row["sap"] and held >= most:
+            part, held = part + 1, 0
+        return (part, held + row["size"]), [{"pid": row["pid"], "event_id": row["event_id"], "part": part}]
+
+    schema = "pid long, event_id long, part long"
+    return ordered_fold(df.select("pid", *order, "sap", "size"), ["pid"], order, lambda: (0, 0), step, schema)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.plans import pairing_queries, sequence_queries, text_queries
+from rivulet.plans import pairing_queries, sequence_queries, table_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (sequence_queries, pairing_queries, text_queries):
+for _module in (sequence_queries, pairing_queries, text_queries, table_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 
