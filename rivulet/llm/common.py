@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a kernel handles at once (a single longer text is taken whole).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Removes the folders behind tables that `cut` has made, once nothing reads them any more. Other folders stay."""
+    for df in frames:
+        for path in {at for f in df.inputFiles() if re.search(r"-[0-9a-f]{32}$", at := f.rsplit("/", 1)[0])}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of docs has (columns are told apart without regard to case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A group that holds a thousandth of all rows or more is hot. There are a thousand of them at most, so they can be broadcast.
 HOT_SHARE = 1000
 
@@ -47,15 +64,45 @@ HOT_SHARE = 1000
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
     """rows with the columns of groups, one row for each value of `on` (not null) with its number of rows in `size`.
 
-    Rows of hot groups meet theirs by broadcast where they are; the others are shuffled, and no value of them is frequent."""
-    groups = cut(groups, "groups")
+    groups: a table that `cut` has made. Rows of hot groups meet theirs by broadcast where they are; the others are shuffled,
+    and no value of them is frequent."""
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    hot = groups.where(F.col(size) * HOT_SHARE >= max(total, HOT_SHARE))  # HOT_SHARE rows at most
-    cold = groups.where(F.col(size) * HOT_SHARE < max(total, HOT_SHARE))
+    bound = max(total, HOT_SHARE)
+    hot, cold = groups.where(F.col(size) * HOT_SHARE >= bound), groups.where(F.col(size) * HOT_SHARE < bound)
+    if not hot.take(1):
+        return rows.join(cold, on)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
 
 
+#: Words of 64 bits in a sieve's bitmap: 2 MB of bits, whatever the input's size.
+SIEVE_WORDS = 1 << 18
+
+
+def sieved(rows: DataFrame, value: Column, members: DataFrame, flag: str) -> DataFrame:
+    """rows with a boolean column `flag`: false only where `value` is certainly none of members' (one long column).
+
+    A bitmap of bounded size is broadcast, so that what a join by ids doesn't concern is told apart without a shuffle. It lets
+    more through as members grow, and the join behind it stays exact."""
+    word, bits = unused(rows, f"{flag}_word"), unused(rows, f"{flag}_bits")
+    place = lambda v: F.pmod(F.xxhash64(v), F.lit(64 * SIEVE_WORDS))
+    one = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), (place(v) % 64).cast("int"))
+    own = F.col(members.columns[0])
+    marks = members.groupBy(F.floor(place(own) / 64).alias(word)).agg(F.bit_or(one(own)).alias(bits))
+    joined = rows.withColumn(word, F.floor(place(value) / 64)).join(F.broadcast(marks), word, "left")
+    return joined.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(one(value)) != 0, F.lit(False))).drop(word, bits)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs, all columns as they were, without the rows whose doc_id is in ids (one long column; null is a value of its own).
+    Only rows that the sieve lets through take part in a shuffle."""
+    flag, own = unused(docs, "_may"), unused(docs, "_drop")
+    marked = sieved(docs, F.col("doc_id").cast("long"), ids, flag)
+    drop = ids.select(F.col(ids.columns[0]).alias(own))
+    left = marked.where(F.col(flag)).join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
+    return marked.where(~F.col(flag)).unionByName(left).select(*docs.columns)
+
+
 def crc_mod(doc_id: object, mod: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % mod
 
@@ -70,12 +117,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows in this session, if it has Spark's default: 10,000 whole texts take hundreds of MB."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """df's batches through make()(part) -> columns; make runs once a task. Only one part is held at a time."""
     fields = [(f.name, f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema.fields]
@@ -90,9 +131,9 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
                 continue
             for part in slices(batch):
                 out = work(part)
-                yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(out[f.name], f.type) for f in target], schema=target)
+                made = [out[f.name] if isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(out[f.name], f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(made, schema=target)
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
