@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,9 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import cut, documents, id_text, map_texts
 
 #: A worker forgets the words that it has encoded beyond so many.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Share of a sequence that may stay empty without its pieces being packed once more.
+OPEN = 1 / 64
 #: Words of these characters are lower-cased and split alike by any Unicode version; all other words go to the library.
 _PLAIN = re.compile(r"[\n\t!-~À-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -170,18 +171,39 @@ def sum_of_squares(lengths: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.nd
     return seq, offset
 
 
-def pack(found: DataFrame, seq_len: int, group_rows: int = 32_768) -> DataFrame:
-    """Adds sequence_id and offset. Pieces are dealt by hash into groups of about group_rows, each packed by one task
-    from lengths alone, so that the work spreads and no group grows with the input; the longest pieces come first."""
-    groups = max(1, -(-found.count() // group_rows))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+def dealt(found: DataFrame, seq_len: int, groups: int, first: int) -> DataFrame:
+    """Pieces with sequence_id, offset and gap (what their sequence leaves empty): dealt by hash into `groups` groups, numbered
+    from `first` on, each packed by one task from lengths alone, the longest pieces first. Arrow tables keep ids as they are."""
+    import pyarrow.compute as pc
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap"]
+    order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, order))
+        lengths = rows["length"].to_numpy()
+        seq, offset = sum_of_squares(lengths, seq_len)
+        gap = seq_len - np.bincount(seq, lengths, int(seq.max()) + 1).astype(np.int64)
+        made = [pa.array((int(key[0].as_py()) << 32) + seq), pa.array(offset), pa.array(gap[seq])]
+        return pa.Table.from_arrays([*(rows[c] for c in names[:5]), *made], names=names)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        seq, offset = sum_of_squares(rows["length"].to_numpy(), seq_len)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + seq, offset=offset).drop(columns="_group")
+    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)) + F.lit(first)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, gap long"
+    return found.select(*names[:5], group.alias("_group")).groupBy("_group").applyInArrow(run, schema)
 
-    return found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy("_group").applyInPandas(run, schema)
+
+def pack(found: DataFrame, seq_len: int, group_rows: int = 32_768) -> DataFrame:
+    """Adds sequence_id and offset. Pieces are packed in groups of about group_rows, so that no group grows with the input.
+    If there are several, the pieces of sequences that are left with more than OPEN of their length are packed once more, in
+    groups of their own, so that the number of sequences hardly depends on how pieces were dealt."""
+    groups = max(1, -(-found.count() // group_rows))
+    once = dealt(found, seq_len, groups, 0)
+    if groups > 1:
+        once = cut(once, "packed")
+        still = F.col("gap") > int(OPEN * seq_len)
+        again = once.where(still)
+        once = once.where(~still).unionByName(dealt(again, seq_len, max(1, -(-again.count() // group_rows)), groups))
+    return once.drop("gap")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, seq_len: int = 2048) -> DataFrame:

@@ -46,6 +46,21 @@ def test_edges(edges, nothing):
     assert K.best_fit_packing(nothing, PATH).collect() == []
 
 
+def test_large_ids_and_a_second_round(spark):
+    """Ids beyond a double's reach stay whole beside a null one; groups that are packed apart lose little."""
+    big = 1 << 60
+    rows = [(big + 1, "one two"), (big + 3, "three"), (None, "four five six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in K.best_fit_packing(df, PATH, 64).collect()} == {big + 1, big + 3, None}
+    rng = np.random.default_rng(5)
+    lengths = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(1, 64, 4000))]
+    found = spark.createDataFrame(lengths, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    used = {k: K.pack(found, 64, k).select("sequence_id").distinct().count() for k in (100, 100_000)}
+    assert used[100] <= 1.03 * used[100_000] + 1
+    placed = K.pack(found, 64, 100).groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert all(r["sum(length)"] <= 64 for r in placed) and K.pack(found, 64, 100).select("doc_id").distinct().count() == 4000
+
+
 def test_rule_takes_the_least_sum_of_squares():
     rng = np.random.default_rng(2)
     size, lengths = 30, rng.integers(1, 31, 300)
