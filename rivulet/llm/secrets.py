@@ -1,9 +1,10 @@
 """Operator 9, secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Both models are character bigram chains with add-one smoothing, trained from labelled samples: random strings (drawn from a
-seeded generator over the alphabets that keys use) and ordinary identifiers (words, joined words, file and variable names
-built from a bounded sample of the corpus). What the fixed patterns leave of a candidate run is a secret if its
-log-likelihood ratio per character and in sum passes the thresholds; if not, so is each stretch of it that passes them.
+All models are character bigram chains with add-one smoothing, trained from labelled samples: one chain for each kind of random
+string (drawn from a seeded generator over an alphabet that keys use) and one of ordinary identifiers (words, joined words,
+file and variable names and numbers, built from a bounded sample of the corpus). What the fixed patterns leave of a run of
+key characters, of any length, is a secret if its log-likelihood ratio for some kind passes the thresholds per character and
+in sum; if not, so is each stretch of it that passes them.
 
 Defined cases: a null or empty text has no span; spans of different kinds may overlap, spans of kind markov overlap no other;
 repeated rows give repeated results; an empty table gives no row; extra columns are ignored. Offsets are code points.
@@ -21,34 +22,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import documents, id_text, map_texts, slices
+from rivulet.llm.common import cut, documents, forget, id_text, map_texts, slices
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: What may be a key: 16 characters or more with a digit, an upper-case letter after the first, or a mark inside.
-MIN_RUN = 16
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A run of characters that keys are made of.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: What joins names and keys to a run, and what stands between.
 _MARKS = "/=_-"
-_PART = re.compile(r"[A-Za-z0-9+]{16,}")
+_PART = re.compile(r"[A-Za-z0-9+]+")
 #: Words that ordinary identifiers are made of.
-_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,14}(?![A-Za-z0-9])")
+_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 
-#: Words and random strings that the models are trained on, at most.
-SAMPLE_WORDS, SAMPLE_RANDOM = 20_000, 20_000
+#: Words that the ordinary model is trained on, at most, and random strings of each kind.
+SAMPLE_WORDS, SAMPLE_RANDOM = 20_000, 10_000
 #: Mean log-likelihood ratio per character, and its sum, that a secret reaches.
-MIN_MEAN, MIN_SUM = 0.35, 10.0
-#: What a stretch of a run gains over MIN_MEAN in sum at least: as much as a key of MIN_RUN characters.
-MIN_GAIN = MIN_SUM - MIN_MEAN * MIN_RUN
-
-
-def chain(samples: Iterable[str]) -> np.ndarray:
-    """Log transition probabilities [previous or start, next] of a character chain, add-one smoothed."""
+MIN_MEAN, MIN_SUM = 0.35, 12.0
+#: Share of an ordinary word's characters that the corpus sample need not explain.
+FLAT, SAME = 0.1, 0.8
+#: Runs whose keys a worker remembers, and the longest of them (longer ones are judged each time).
+CACHE_RUNS, LONG_RUN = 100_000, 256
+#: Alphabets of random strings.
+_HEXADECIMAL = "0123456789abcdef"
+RANDOM_KINDS = (_ALPHABET[:64], _ALPHABET[:62], _ALPHABET[:26] + _ALPHABET[52:62], _ALPHABET[26:62], _ALPHABET[:26], _ALPHABET[26:52], _HEXADECIMAL)
+
+
+def chain(samples: Iterable[str], flat: float = 0.0) -> np.ndarray:
+    """Log transition probabilities [previous or start, next] of a character chain, add-one smoothed. flat: the share of
+    characters that follow no sample, for words of languages that the samples lack; SAME of them are of the kind before."""
     n = len(_ALPHABET)
     count = np.ones((n + 1, n))
     for s in samples:
@@ -56,30 +62,40 @@ def chain(samples: Iterable[str]) -> np.ndarray:
         code = code[code >= 0]
         if len(code):
             np.add.at(count, (np.append(n, code[:-1]), code), 1)
-    return np.log(count / count.sum(1, keepdims=True))
+    kind = np.array([c.islower() + 2 * c.isupper() + 4 * c.isdigit() for c in _ALPHABET])
+    same = np.append((kind[:, None] == kind) / (kind[:, None] == kind).sum(1, keepdims=True), np.full((1, n), 1 / n), 0)
+    return np.log((1 - flat) * count / count.sum(1, keepdims=True) + flat * (SAME * same + (1 - SAME) / n))
 
 
-def random_samples(n: int, seed: int = 7) -> list[str]:
-    """Labelled random strings: base64, alphanumeric, upper-case and hexadecimal keys of 16 to 64 characters."""
-    rng = np.random.default_rng(seed)
-    kinds = [_ALPHABET[:64], _ALPHABET[:62], _ALPHABET[:62], _ALPHABET[:26] + _ALPHABET[52:62], "0123456789abcdef"]
-    return ["".join(rng.choice(list(kinds[i % len(kinds)]), rng.integers(16, 65))) for i in range(n)]
+def random_samples(alphabet: str, n: int, seed: int = 7) -> list[str]:
+    """Labelled random strings of 12 to 64 characters."""
+    rng, letters = np.random.default_rng(seed), np.array(list(alphabet))
+    return ["".join(letters[rng.integers(0, len(letters), rng.integers(12, 65))]) for _ in range(n)]
 
 
 def ordinary_samples(words: list[str], seed: int = 11) -> list[str]:
-    """Labelled identifiers: the words alone, and joined as snake, kebab, camel and path names, some with a number."""
+    """Labelled identifiers: the words in three cases, joined as snake, kebab, camel and path names, some with a number, and
+    numbers and dates."""
     words = [w for w in words if w.isascii() and w.isalpha()] or ["value", "index", "name"]
     rng = np.random.default_rng(seed)
-    out = list(words)
+    out = [*words, *map(str.upper, words), *map(str.title, words)]
     for i in range(len(words)):
         some = [words[j].lower() for j in rng.integers(0, len(words), rng.integers(2, 5))]
-        out.append((lambda s: "_".join(s), lambda s: "-".join(s), lambda s: s[0] + "".join(x.title() for x in s[1:]), lambda s: "/".join(s), lambda s: "_".join(s).upper(), lambda s: f"{'_'.join(s)}_{rng.integers(0, 3000)}")[i % 6](some))
+        number = int(rng.integers(0, 10 ** rng.integers(1, 13)))
+        camel = some[0] + "".join(map(str.title, some[1:]))
+        kinds = ("_".join(some), "-".join(some), camel, "/".join(some), "_".join(some).upper(), f"{some[0]}_{number}", f"{some[0]}{number % 1000}")
+        out += (kinds[i % 7], str(number), f"20{number % 100:02d}-{number % 12 + 1:02d}-{number % 28 + 1:02d}")
     return out
 
 
+#: Bits of a word's hash by which words are counted before the driver takes any.
+_COUNT_BITS = 12
+
+
 def smallest_words(texts: DataFrame, most: int) -> list[str]:
     """The `most` distinct words of all texts with the smallest hashes (CRC-32, then the word). Each task keeps that many of
-    its own and sends no more, and so what meets is bounded by tasks, and the result by `most`, whatever the input's size."""
+    its own and sends no more. Words are counted by the first bits of their hash, and only those up to the one that makes
+    `most` full come to the driver: about `most`, whatever the input's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, int] = {}
@@ -97,18 +113,30 @@ def smallest_words(texts: DataFrame, most: int) -> list[str]:
         if own:
             yield pa.RecordBatch.from_pydict({"h": pa.array([h for h, _ in own], pa.int64()), "w": [w for _, w in own]})
 
-    found = id_text(texts).select("text").mapInArrow(run, "h long, w string").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
-    return sorted(r["w"] for r in found.orderBy("h", "w").limit(most).collect())
+    found = cut(id_text(texts).select("text").mapInArrow(run, "h long, w string").distinct(), "words")
+    high = F.shiftright("h", 32 - _COUNT_BITS)
+    counts = {r["k"]: r["n"] for r in found.groupBy(high.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 2^_COUNT_BITS rows
+    total, last = 0, -1
+    for last in sorted(counts):
+        total += counts[last]
+        if total >= most:
+            break
+    own = sorted((r["h"], r["w"]) for r in found.where(high <= last).collect())[:most]
+    forget(found)
+    return sorted(w for _, w in own)
 
 
 def train(docs: DataFrame, sample_words: int = SAMPLE_WORDS) -> np.ndarray:
-    """The matrix of log-likelihood ratios; ordinary identifiers come from sample_words distinct words of the whole corpus."""
-    return chain(random_samples(SAMPLE_RANDOM)) - chain(ordinary_samples(smallest_words(docs, sample_words)))
+    """Log-likelihood ratios [kind, previous or start, next]; ordinary identifiers come from sample_words distinct words of the
+    whole corpus."""
+    ordinary = chain(ordinary_samples(smallest_words(docs, sample_words)), FLAT)
+    return np.stack([chain(random_samples(alphabet, SAMPLE_RANDOM)) - ordinary for alphabet in RANDOM_KINDS])
 
 
-def llr(model: np.ndarray, s: str) -> float:
+def gains(model: np.ndarray, s: str) -> np.ndarray:
+    """Log-likelihood ratio of each character of s, for each kind."""
     code = _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
-    return float(model[np.append(len(_ALPHABET), code[:-1]), code].sum())
+    return model[:, np.append(len(_ALPHABET), code[:-1]), code]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -119,16 +147,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def plain(s: str) -> bool:
-    """Runs of one letter case or of digits alone are words and numbers."""
-    return (s[1:].islower() or s.isdigit() or s.isupper()) and s.isalnum() and not any(map(str.isdigit, s)) or s.isdigit()
-
-
 def is_key(model: np.ndarray, s: str) -> bool:
-    return len(s) >= MIN_RUN and not plain(s) and (ratio := llr(model, s)) >= MIN_SUM and ratio >= MIN_MEAN * len(s)
+    """Whether s as a whole passes; the kinds share the evidence that each of them might be the one."""
+    best = float(gains(model, s).sum(1).max()) - float(np.log(len(model)))
+    return best >= MIN_SUM and best >= MIN_MEAN * len(s)
 
 
-def free_parts(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def free_parts(a: int, b: int, base: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """What the sorted spans of base leave of [a, b)."""
     out = []
     for x, _, y in base:
@@ -164,18 +189,17 @@ def maximal_stretches(gains: list[float]) -> list[tuple[int, int, float]]:
 
 
 def keys_within(s: str, model: np.ndarray) -> list[tuple[int, int]]:
-    """Where keys stand in a run: the whole run; or else its parts between marks, and the stretches that gain most over
+    """Where keys stand in a run: the whole run; or else its parts between marks, and the stretches that gain MIN_SUM over
     MIN_MEAN, as far as the next marks if that is still a key."""
+    each = gains(model, s) - MIN_MEAN
+    sums = np.concatenate([np.zeros((len(model), 1)), np.cumsum(each, 1)], 1)
+    if (sums - np.minimum.accumulate(sums, 1)).max() < MIN_SUM:  # no stretch gains enough, and so neither does a part
+        return [(0, len(s))] if is_key(model, s) else []
     if is_key(model, s):
         return [(0, len(s))]
-    if len(s) <= MIN_RUN:
-        return []
     found = [m.span() for m in _PART.finditer(s) if is_key(model, m[0])]
-    code = _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
-    gains = model[np.append(len(_ALPHABET), code[:-1]), code] - MIN_MEAN
-    sums = np.cumsum(gains)
-    if (sums - np.minimum.accumulate(np.append(0.0, sums[:-1]))).max() >= MIN_GAIN:
-        for a, b in ((a, b) for a, b, gain in maximal_stretches(gains.tolist()) if gain >= MIN_GAIN):
+    for own in each:
+        for a, b in ((a, b) for a, b, gain in maximal_stretches(own.tolist()) if gain >= MIN_SUM):
             wide = (max(s.rfind(c, 0, a) for c in _MARKS) + 1, min(x if (x := s.find(c, b)) >= 0 else len(s) for c in _MARKS))
             found += next(([w] for w in (wide, (a, b)) if is_key(model, s[slice(*w)])), [])
     out: list[tuple[int, int]] = []
@@ -187,14 +211,57 @@ def keys_within(s: str, model: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+class Scanner:
+    """Spans of texts; keeps the keys of runs that it has seen, up to CACHE_RUNS."""
+
+    def __init__(self, model: np.ndarray) -> None:
+        self.model = model
+        self.known: dict[str, list[tuple[int, int]]] = {}
+
+    def keys(self, run: str) -> list[tuple[int, int]]:
+        got = self.known.get(run)
+        if got is None:
+            got = keys_within(run, self.model)
+            if len(run) <= LONG_RUN:
+                self.known[run] = got
+        return got
+
+    def learn(self, runs: set[str]) -> None:
+        """Remembers in one step the runs that hold no key because even their gaining characters alone don't reach MIN_SUM."""
+        if len(self.known) >= CACHE_RUNS:
+            self.known.clear()
+        new = [r for r in runs if r not in self.known and len(r) <= LONG_RUN]
+        if not new:
+            return
+        ends = np.cumsum([0, *map(len, new)])
+        code = _CODE[np.frombuffer("".join(new).encode("ascii"), np.uint8)]
+        before = np.append(0, code[:-1])
+        before[ends[:-1]] = len(_ALPHABET)
+        most = np.max([np.add.reduceat(np.maximum(m[before, code], 0), ends[:-1]) for m in self.model], 0)
+        self.known.update((new[i], []) for i in np.flatnonzero(most < MIN_SUM).tolist())
+
+    def markov(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Keys in what the fixed patterns (sorted) leave of each run."""
+        runs = set(_CANDIDATE.findall(text))
+        self.learn(runs)
+        if not base and not any(map(self.keys, runs)):
+            return []
+        out, at = [], 0
+        for m in _CANDIDATE.finditer(text):
+            while at < len(base) and base[at][2] <= m.start():
+                at += 1
+            for a, b in free_parts(*m.span(), (base[i] for i in range(at, len(base)))):
+                out += [(a + x, 3, a + y) for x, y in self.keys(text[a:b])]
+        return out
+
+    def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """(start, kind, end) of the fixed patterns, and of the models."""
+        base = base_spans(text)
+        return base, self.markov(text, base)
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: np.ndarray) -> list[tuple[int, int, int]]:
-    """Keys in what the fixed patterns leave of each candidate run."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        for a, b in free_parts(*m.span(), base):
-            if b - a >= MIN_RUN:
-                out += [(a + x, 3, a + y) for x, y in keys_within(text[a:b], model)]
-    return out
+    return Scanner(model).markov(text, base)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -216,11 +283,12 @@ def scan_secrets(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
     model = train(docs) if model is None else model
 
     def make() -> Callable[[pa.RecordBatch], dict]:
+        scanner = Scanner(model)
+
         def work(part: pa.RecordBatch) -> dict:
             rows = []
             for text in part.column("text").to_pylist():
-                base = base_spans(text)
-                more = markov_spans(text, base, model)
+                base, more = scanner.spans(text)
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)))
             return {"doc_id": part.column("doc_id")} | dict(zip(("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"), zip(*rows, strict=True), strict=True))
@@ -236,11 +304,13 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in names if c != "text"]).alias("rest"))
 
     def make() -> Callable[[pa.RecordBatch], dict]:
+        scanner = Scanner(model)
+
         def work(part: pa.RecordBatch) -> dict:
             texts = []
             for text in part.column("text").to_pylist():
-                base = base_spans(text)
-                texts.append(redact(text, base + markov_spans(text, base, model)))
+                base, more = scanner.spans(text)
+                texts.append(redact(text, base + more))
             return {"redacted": texts, "rest": part.column("rest")}
 
         return work

@@ -35,6 +35,47 @@ def test_markov_finds_random_strings_only(spark, docs):
     assert found >= 190 and wrong <= 12
 
 
+def test_every_kind_of_random_string(docs):
+    """Random strings of one letter case, and short ones, are found too."""
+    model, rng = S.train(docs), random.Random(21)
+    low, up, mixed = S._ALPHABET[26:52], S._ALPHABET[:26], S._ALPHABET[:62]
+    for alphabet, n, least in ((low, 32, 95), (up, 32, 95), (mixed, 12, 80), (mixed, 20, 95), (mixed, 40, 100)):
+        found = sum(bool(S.markov_spans(f"see {''.join(rng.choice(alphabet) for _ in range(n))} here", [], model)) for _ in range(100))
+        assert found >= least, (alphabet, n, found)
+
+
+def best_stretch(gains):
+    return max(sum(gains[a:b]) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1))
+
+
+def test_spans_against_the_rule(docs, edges):
+    """Every run of every text: whole if it passes as a whole; none where no stretch gains enough; else only passing stretches."""
+    model = S.train(docs)
+    texts = [r["text"] or "" for df in (docs.limit(60), edges) for r in df.collect()]
+    rng = random.Random(2)
+    texts += ["key " + "".join(rng.choice(S._ALPHABET[:62]) for _ in range(n)) + " end" for n in (8, 12, 30)] + ["some/path/of/words/" + "".join(rng.choice(S._ALPHABET[:62]) for _ in range(24))]
+    scanner, judged = S.Scanner(model), {}
+    letters = S._ALPHABET
+    for text in texts:
+        base, found = scanner.spans(text)
+        assert base == sorted(base) and not any(a < y and x < b for a, _, b in found for x, _, y in base)
+        taken = set()
+        for a, _, b in found:
+            assert text[a:b] == text[a:b].strip() and taken.isdisjoint(range(a, b))
+            taken.update(range(a, b))
+        if base or len(text) > 20_000:
+            continue
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+            run = m[0]
+            if run not in judged:
+                each = [[float(k[letters.index(p) if p else len(letters), letters.index(c)]) for p, c in zip(["", *run], run, strict=False)] for k in model]
+                whole = max(map(sum, each)) - float(S.np.log(len(model)))
+                judged[run] = (whole >= S.MIN_SUM and whole >= S.MIN_MEAN * len(run), max(best_stretch([g - S.MIN_MEAN for g in k]) for k in each) >= S.MIN_SUM)
+            key, part = judged[run]
+            own = [(a - m.start(), b - m.start()) for a, _, b in found if m.start() <= a < m.end()]
+            assert own == [(0, len(run))] if key else part or not own
+
+
 def test_redaction(spark, edges):
     out = {r["doc_id"]: r for r in S.redact_secrets(edges).collect()}
     assert out[12]["text"].startswith("[SECRET]") and "04dbebab" not in out[12]["text"] and "AKIA" not in out[12]["text"] and "abcdef" not in out[12]["text"]
