@@ -46,10 +46,12 @@ def _any(phrases: tuple[str, ...]) -> str:
     return "|".join(re.escape(p) for p in phrases)
 
 
-#: What the rules below the marks' need at least: a symbol, two capitals in a row, a character beyond Latin-1, or a phrase of theirs.
-_SUSPECT = re.compile(rf"[#*$%&|<>»©]|[A-ZÀ-Þ][\W\d_]*[A-ZÀ-Þ]|[^\x00-ÿ]|(?i:{_any(NAVIGATION + NOTICES)})")
-#: Lines that open with a phrase of navigation and hardly go on, or that are parted by bars.
-_NAVIGATION = re.compile(rf"^\s*(?:{_any(NAVIGATION)})\b.{{0,60}}$|(?: [|>»] .*){{2,}}", re.IGNORECASE)
+_PHRASES = NAVIGATION + NOTICES
+#: What the rules below the marks' need at least, but for phrases: a symbol, two capitals in a row, or a character beyond Latin-1.
+_SUSPECT = re.compile(r"[#*$%&|<>»©]|[A-ZÀ-Þ][\W\d_]*[A-ZÀ-Þ]|[^\x00-ÿ]")
+#: Lines that open with a phrase of navigation and hardly go on; bars that part a line.
+_NAVIGATION = re.compile(rf"^\s*(?:{_any(NAVIGATION)})\b.{{0,60}}$", re.IGNORECASE)
+_BAR = re.compile(r" [|>»](?= )")
 _BOILERPLATE = re.compile(rf"\b(?:{_any(NOTICES)})", re.IGNORECASE)
 
 
@@ -69,19 +71,26 @@ class Rules:
     repeat_percent: int = 50
 
 
-def line_fails(line: str, rules: Rules) -> bool:
-    """Whether a line that has a word is noise."""
+def has_phrase(text: str) -> bool:
+    """Whether a phrase of navigation or of a notice is anywhere in a text, letter case aside."""
+    low = text.lower()
+    return any(p in low for p in _PHRASES)
+
+
+def line_fails(line: str, rules: Rules, phrases: bool = True) -> bool:
+    """Whether a line that has a word is noise. phrases: false if its text is known to hold none."""
     n, marks = len(line), len(_MARK.findall(line))
     if marks >= rules.least_marks and marks > rules.mark_share * n:
         return True
-    if not _SUSPECT.search(line):
+    told = phrases and has_phrase(line)
+    if not told and not _SUSPECT.search(line):
         return False
     if len(_SYMBOL.findall(line)) > rules.symbol_share * n:
         return True
     letters = sum(map(str.isalpha, line))
     if letters >= 10 and sum(map(str.isupper, line)) > rules.shouted_share * letters:
         return True
-    return bool(_NAVIGATION.search(line) or _BOILERPLATE.search(line))
+    return bool(told and (_NAVIGATION.search(line) or _BOILERPLATE.search(line)) or len(_BAR.findall(line)) > 1)
 
 
 def furniture(docs: DataFrame, rules: Rules) -> frozenset[int]:
@@ -131,7 +140,7 @@ def judge(text: str, rules: Rules, common: frozenset[int] = frozenset()) -> tupl
     base = len(words) < rules.min_words or 100 * repeat > rules.repeat_percent * len(words)
     seen: set[str] = set()
     dups = lost = 0
-    good = []
+    good, phrases = [], has_phrase(text)
     for line in text.split("\n"):
         if not _WORD.search(line):
             good.append(line)
@@ -139,7 +148,7 @@ def judge(text: str, rules: Rules, common: frozenset[int] = frozenset()) -> tupl
         dups += line in seen
         seen.add(line)
         bare = line.strip(" \t\r")
-        if line_fails(line, rules) or common and len(bare) <= rules.furniture_chars and line_hash(bare) in common:
+        if line_fails(line, rules, phrases) or common and len(bare) <= rules.furniture_chars and line_hash(bare) in common:
             lost += sum(map(len, _WORD.findall(line)))
         else:
             good.append(line)
