@@ -9,8 +9,9 @@ Rounds keep every link that matters without listing all pairs of a group, as onl
 links each document with the first one of its min-hash tiles; verified links form components. Then the prefix of every set
 is indexed (the shingles of which any set within the threshold must share one, common shingles last), and only tiles that
 hold two components are looked at. Hub rounds link each of their documents with one document that each tile draws, so their
-pairs grow with the rows; they join what belongs together. The last round is complete: it compares all pairs of different
-components that are left in a tile and a band.
+pairs grow with the rows; documents with many verified links are drawn more often, as the original of many copies has them.
+The last round is complete: documents of different components that are left in a tile and a band meet if their sizes and
+the places of the shared shingle in both prefixes still allow the overlap; then bitmaps, then exact intersection.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing; a text of fewer words
 than a shingle is one shingle; rows that repeat a doc_id are one node; a row with a null doc_id gets the smallest doc_id of
@@ -19,23 +20,28 @@ its class, or null; an empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, documents, id_text, join_groups, map_texts, mix, shingle_hashes, slices, text_bytes, word_hashes
+from rivulet.llm.common import (
+    cut, documents, forget, id_text, join_groups, map_texts, mix, shingle_hashes, sieved, slices, text_bytes, without_ids, word_hashes,
+)
 
 #: Two sets link at 100 * |intersection| >= PERCENT * |union|.
 PERCENT, WORDS = 80, 5
-#: Rounds that compare each document of a tile with one other only, before all pairs that are left: so many at most, and
-#: none after one that has left more than STALLED of the tiles' rows. The last round is complete whatever they do.
-HUB_ROUNDS, STALLED = 2, 0.9
+#: Rounds that compare each document of a tile with one other only, before the complete round: so many at most, none after
+#: one that verified fewer than PRODUCTIVE of the pairs that it compared, and only for tiles of more than FEW documents.
+#: The last round is complete whatever they do.
+HUB_ROUNDS, PRODUCTIVE, FEW = 3, 0.25, 8
 #: Bands of the complete round are so many steps of the sizes' largest ratio wide; one document in so many is in two bands.
 BAND_STEPS = 3
+#: Bits of a bitmap for each shingle, at least: enough to tell sets a little below the threshold from sets above it.
+BITS_EACH = 4
 #: Counters of the frequency sketch: bounded, 4 MB on the driver and in each task.
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 13
 #: Min-hashes of round 1.
@@ -59,11 +65,14 @@ def sketch(rows: DataFrame) -> np.ndarray:
             blocks = count.reshape(-1, SKETCH_BLOCK).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"block": np.arange(len(blocks), dtype=np.int32), "counts": [b.tobytes() for b in blocks]})
 
-    def add(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "counts": [sum(np.frombuffer(b, np.int32).astype(np.int64) for b in frames["counts"]).tobytes()]})
+    def add(key: tuple, parts: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH_BLOCK, np.int64)
+        for b in parts["counts"]:
+            total += np.frombuffer(b.as_buffer(), np.int32)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
-    sums = rows.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
+    sums = rows.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
     for r in sums.collect():  # 2^SKETCH_BITS counters, whatever the input
         total[r["block"]] = np.frombuffer(r["counts"], np.int64)
     return total.ravel()
@@ -77,27 +86,37 @@ def levels(count: np.ndarray) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall to each bit; a power of two of bits, no fewer than the shingles."""
-    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    """Parity of the shingles that fall to each bit; a power of two of bits, no fewer than BITS_EACH a shingle."""
+    bits = max(64, 1 << (BITS_EACH * len(own) - 1).bit_length()) if len(own) else 64
     odd = (np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A bitmap of a quarter of the bits: each one the parity of the four that fall together."""
+    return np.bitwise_xor.reduce(bits.reshape(4, -1)) if len(bits) >= 4 else bits
+
+
+def digest(own: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def signatures(rows: DataFrame, level: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), bits, mins, keys (prefix) of every row."""
+    """doc_id, n, d1, d2 (digest of the set), bits, few (bits, folded), mins, keys (prefix, in order) of every row."""
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         def work(part: pa.RecordBatch) -> dict:
             sets, ends = shingle_sets(part.column("text"))
-            mixed = mix(sets ^ np.uint64(0x5851F42D4C957F2D))
-            out: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "bits", "mins", "keys")}
+            out: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "bits", "few", "mins", "keys")}
             rank = level[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own, n = sets[a:b], b - a
+                d1, d2 = digest(own).tolist()
                 out["n"].append(n)
-                out["d1"].append(int(mixed[a:b].sum(dtype=np.uint64).view(np.int64)) if n else 0)
-                out["d2"].append(int(np.bitwise_xor.reduce(mixed[a:b]).view(np.int64)) if n else 0)
+                out["d1"].append(d1)
+                out["d2"].append(d2)
                 out["bits"].append(bitmap(own))
+                out["few"].append(folded(out["bits"][-1]))
                 out["mins"].append(np.array([mix(own ^ c).min() for c in MINS]).view(np.int64) if n else [])
                 prefix = n - -(-PERCENT * n // 100) + 1 if n else 0
                 order = np.argsort(rank[a:b], kind="stable")[:prefix]  # by level, then by hash
@@ -106,7 +125,7 @@ def signatures(rows: DataFrame, level: np.ndarray) -> DataFrame:
 
         return work
 
-    return map_texts(rows, "doc_id long, n int, d1 long, d2 long, bits array<long>, mins array<long>, keys array<long>", make)
+    return map_texts(rows, "doc_id long, n int, d1 long, d2 long, bits array<long>, few array<long>, mins array<long>, keys array<long>", make)
 
 
 def may_link(a: str, b: str) -> str:
@@ -135,7 +154,8 @@ def banded(n: Column, steps: int = 1) -> Column:
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Texts go once to the ids asked for, then to the pairs' first ids."""
     need = pairs.select("a", F.col("b").alias("doc_id")).unionByName(pairs.select("a", F.col("a").alias("doc_id")).distinct())
-    texts = need.join(rows, "doc_id")
+    asked = sieved(rows, F.col("doc_id"), need.select("doc_id").distinct(), "asked").where("asked").drop("asked")
+    texts = need.join(asked, "doc_id")
     left = texts.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     right = texts.where("doc_id = a").select("a", F.col("text").alias("a_text"))
 
@@ -170,6 +190,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(small, "y")
         new = cut(joined.where("m <> r").select(F.col("r").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("r").alias("u"), F.col("y").alias("v"))).distinct(), "edges")
         count = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        forget(now)
         if count == told:
             return new.select(F.col("v").alias("doc_id"), F.col("u").alias("root"))
         now, told = new, count
@@ -180,40 +201,52 @@ def merged(root: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda c: root.select(F.col("doc_id").alias(c), F.col("root").alias(f"{c}_root"))
     across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     top = components(across)
-    whole = root.join(top.select(F.col("doc_id").alias("root"), F.col("root").alias("top")), "root", "left").select("doc_id", F.coalesce("top", "root").alias("root"))
-    return cut(whole.unionByName(top.join(root, "doc_id", "left_anti")), "roots")
+    whole = root.join(top.select(F.col("doc_id").alias("root"), F.col("root").alias("top")), "root", "left")
+    return cut(whole.select("doc_id", F.coalesce("top", "root").alias("root")).unionByName(top.join(root, "doc_id", "left_anti")), "roots")
 
 
-def mixed_tiles(tiles: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, comp) of the keys that hold two components. One shuffle, and one key is buffered with spill."""
-    w = Window.partitionBy("key")
-    return tiles.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").select("key", "doc_id", "comp")
+def degrees(links: DataFrame) -> DataFrame:
+    """doc_id and its number of verified links."""
+    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id")))
+    return ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("links"))
 
 
 def allowed(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow a link. Sizes alone first, so that few pairs are moved with bitmaps."""
-    size = lambda x: bits.groupBy(F.col("doc_id").alias(x)).agg(F.min("n").alias(f"low_{x}"), F.max("n").alias(f"high_{x}"))
-    side = lambda x: bits.select(F.col("doc_id").alias(x), F.struct("n", "bits").alias(f"s{x}"))
-    reach = f"100 * high_a >= {PERCENT} * low_b and 100 * high_b >= {PERCENT} * low_a"
-    near = pairs.join(size("a"), "a").join(size("b"), "b").where(reach).select("a", "b")
-    return near.join(side("b"), "b").join(side("a"), "a").where(may_link("sa.", "sb.")).select("a", "b").distinct()
+    """The pairs (a, b) whose sizes and bitmaps allow a link, folded bitmaps first; written. Only bitmaps that a pair may ask
+    for are moved."""
+    pairs = cut(pairs, "pairs")
+    for which in ("few", "bits"):
+        asked = sieved(bits, F.col("doc_id"), pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "asked").where("asked")
+        side = lambda x: asked.select(F.col("doc_id").alias(x), F.struct("n", F.col(which).alias("bits")).alias(f"s{x}"))  # noqa: B023, E731
+        pairs = cut(pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("sa.", "sb.")).select("a", "b").distinct(), "candidates")
+    return pairs
+
 
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-def hub_pairs(tiles: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each document of a tile with the one that the tile draws, if of another component and the bitmaps allow it."""
-    drawn = F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), "doc_id", "comp")).alias("hub")
-    pairs = tiles.join(tiles.groupBy("key").agg(drawn), "key").where("comp <> hub.comp").select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
-    return allowed(pairs, bits)
 
+def drawn(turn: int) -> Column:
+    """The document that a tile draws: each has a chance in proportion to its links (plus one), by its hash."""
+    chance = (F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.min(F.struct((-F.log(chance) / (1 + F.coalesce("links", F.lit(0)))).alias("h"), "doc_id", "comp", "n", "pos")).alias("hub")
 
-def all_pairs(tiles: DataFrame, bits: DataFrame) -> DataFrame:
-    """(a, b): all documents of different components that share a tile and a band and whose bitmaps allow it."""
+
+def reach(x: str, y: str) -> Column:
+    """Whether sizes, and places of a shared shingle, allow the overlap, if no shingle before it in either set is shared."""
+    sizes = f"100 * least({x}n, {y}n) >= {PERCENT} * greatest({x}n, {y}n)"
+    places = f"{100 + PERCENT} * cast(least({x}n - {x}pos, {y}n - {y}pos) as long) >= {PERCENT} * (cast({x}n as long) + {y}n)"
+    return F.expr(f"{sizes} and {places}")
+
+
+def all_pairs(tiles: DataFrame) -> DataFrame:
+    """(a, b): documents of different components that share a tile and a band, as far as sizes and places allow."""
     # a pair that shares two bands is taken in the larger set's own one, once
-    many = tiles.join(bits, "doc_id").withColumn("own", band_of(F.col("n"), BAND_STEPS)).withColumn("band", banded(F.col("n"), BAND_STEPS))
-    side = lambda x: many.select("key", "band", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "comp", "own", "n", "bits")])
+    many = tiles.withColumn("own", band_of(F.col("n"), BAND_STEPS)).withColumn("band", banded(F.col("n"), BAND_STEPS))
+    side = lambda x: many.select("key", "band", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "comp", "own", "n", "pos")])
     x, y = side("x"), side("y")
-    found = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr("x_comp < y_comp") & (x["band"] == F.greatest("x_own", "y_own")) & F.expr(may_link("x_", "y_")))
-    return found.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    one = (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr("x_comp < y_comp") & (x["band"] == F.greatest("x_own", "y_own"))
+    return x.join(y, one & reach("x_", "y_")).select(*ordered("x_doc_id", "y_doc_id")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -222,34 +255,57 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     level = levels(sketch(rows))
     sig = cut(signatures(rows, level), "signatures")
     plain = sig.select("doc_id", "n", "d1", "d2")
-    classes = plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
     grouped = join_groups(plain.where("n > 0"), classes, ["n", "d1", "d2"], "copies").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     member = cut(grouped.unionByName(plain.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "classes")
     gone = cut(member.where("n > 0").groupBy("doc_id").agg(F.max(F.expr("doc_id = rep")).alias("stays")).where("not stays").select("doc_id"), "copies")
     one = sig.where("n > 0 and doc_id is not null").join(gone, "doc_id", "left_anti")
-    bits = one.select("doc_id", "n", "bits")
+    bits = one.select("doc_id", "n", "few", "bits")
 
     # first round: each document with the first one of its min-hash tiles
-    tile = one.select("doc_id", "n", F.explode("mins").alias("m")).select("doc_id", "m", banded(F.col("n")).alias("band"))
-    hub = tile.groupBy("m", "band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "band", "a")
-    near = tile.join(hub, ["m", "band"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    first = cut(allowed(near, bits), "candidates")
-    root = components(verified(first, rows))
+    tile = one.select("doc_id", "n", F.explode("mins").alias("m")).select("doc_id", "n", "m", banded(F.col("n")).alias("band"))
+    first_of = tile.groupBy("m", "band").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    firsts = cut(first_of, "groups")
+    sized = f"doc_id > hub.doc_id and 100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)"
+    near = join_groups(tile, firsts, ["m", "band"], "c").where(sized).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = allowed(near, bits)
+    links = cut(verified(pairs, rows), "links")
+    root = components(links)
 
     # prefix tiles that hold two components: hub rounds, then all pairs that are left
-    with_comp = lambda df: df.join(root, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
-    tiles = cut(mixed_tiles(with_comp(one.select("doc_id", "keys")).select(F.explode("keys").alias("key"), "doc_id", "comp")), "tiles")
-    left = tiles.count()
+    def told(df: DataFrame) -> DataFrame:
+        now = root.join(degrees(links), "doc_id")
+        return df.join(now, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+
+    def mixed(df: DataFrame, *more: Column) -> DataFrame:
+        groups = df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), *more)
+        return cut(groups.where("lo < hi").drop("lo", "hi"), "groups")
+
+    whole = told(one.select("doc_id", "n", "keys")).select("doc_id", "n", "comp", "links", F.posexplode("keys").alias("pos", "key"))
+    groups = mixed(whole)  # most prefix shingles are in one component alone, so that few rows go to the tiles
+    shared = sieved(whole, F.col("key"), groups.select("key"), "shared").where("shared").drop("shared")
+    tiles = cut(join_groups(shared, groups, ["key"], "c"), "tiles")
+    crowded = tiles.where(f"c > {FEW}").drop("c")
+    sizes = f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)"
+    spent = [pairs, links, firsts, classes, gone, groups, tiles]
     for turn in range(HUB_ROUNDS):
-        pairs = cut(hub_pairs(tiles, bits, turn), "candidates")
-        if not pairs.take(1):
-            break
-        root = merged(root, verified(pairs, rows))
-        tiles = cut(mixed_tiles(with_comp(tiles.drop("comp")).select("key", "doc_id", "comp")), "tiles")
-        before, left = left, tiles.count()
-        if left > STALLED * before:
+        groups = mixed(crowded, drawn(turn))
+        apart = join_groups(crowded, groups, ["key"], "c").where("comp <> hub.comp").where(sizes)
+        pairs = allowed(apart.select(*ordered("doc_id", "hub.doc_id")).distinct(), bits)
+        fresh = cut(verified(pairs, rows), "links")
+        spent += [groups, pairs, fresh, root]
+        root, links = merged(root, fresh), links.unionByName(fresh)
+        if fresh.count() <= PRODUCTIVE * pairs.count():
             break
-    root = merged(root, verified(cut(all_pairs(tiles, bits), "candidates"), rows))
+        crowded = cut(told(crowded.drop("comp", "links")), "tiles")
+        spent.append(crowded)
+    now = cut(told(tiles.drop("comp", "links", "c")), "tiles")
+    groups = mixed(now)
+    tiles = cut(join_groups(now, groups, ["key"], "c").drop("c"), "tiles")
+    spent += [groups, root, now]
+    pairs = allowed(all_pairs(tiles), bits)
+    root = merged(root, verified(pairs, rows))
+    forget(sig, tiles, pairs, *spent)
     end = root.select(F.col("doc_id").alias("rep"), "root")
     return member.join(end, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
@@ -257,8 +313,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with the smallest doc_id of each group, all columns as they were; rows without a doc_id stay."""
     found = cut(jaccard_components(docs), "components")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop_id"), "left_anti")
+    return without_ids(docs, cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

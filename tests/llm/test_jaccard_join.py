@@ -78,6 +78,17 @@ def test_thresholds_and_common_passages(spark):
     assert {r["doc_id"] for r in J.drop_near_copies(df).collect()} == {d for d, (_, c) in want.items() if d == c}
 
 
+def test_names_that_clash_and_forgotten_folders(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, 5, "a"), (2, text + " more", 6, "b"), (3, "else", 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _may long, _DROP string")
+    own = str(tmp_path / f"keep-{'0' * 32}")
+    df.write.parquet(own)
+    docs = spark.read.parquet(own)
+    assert sorted(map(tuple, J.drop_near_copies(docs).collect())) == [rows[0], rows[2]]
+    assert docs.count() == 3  # the input's folder is not among those that are removed
+
+
 def test_bitmaps_never_rule_out_a_link(spark):
     rng = np.random.default_rng(1)
     rows = []
