@@ -137,3 +137,26 @@ def field_statistics(df: DataFrame, props: str) -> DataFrame:
     """field, rows, distinct values and longest value of all fields of a property map."""
     each = df.select(F.explode(props).alias("field", "value"))
     return each.groupBy("field").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("value").alias("values"), F.max(F.length("value")).alias("longest"))
+
+
+def gather_objects(parts: DataFrame) -> DataFrame:
+    """One row per object (tsi, toi) from its parts (first, data, total), in any order and as often as they come: received
+    bytes, complete, and data if complete. Repeats are skipped; parts that overlap others otherwise make it incomplete. An
+    object is one file, and so is bounded."""
+    once = parts.groupBy("tsi", "toi", "first").agg(F.first("data").alias("data"), F.max("total").alias("total"))
+    rows = F.array_sort(F.collect_list(F.struct("first", "data")))
+    found = once.groupBy("tsi", "toi").agg(rows.alias("parts"), F.max("total").alias("total"), F.sum(F.length("data")).alias("received"))
+    end = F.aggregate("parts", F.lit(0).cast("long"), lambda at, p: F.when(p["first"].cast("long") == at, at + F.length(p["data"])).otherwise(F.lit(-1).cast("long")))
+    complete = F.coalesce(end == F.col("total"), F.lit(False))
+    data = F.aggregate("parts", F.lit(b""), lambda d, p: F.concat(d, p["data"]))
+    return found.select("tsi", "toi", "received", complete.alias("complete"), F.when(complete, data).alias("data"))
+
+
+def walk_manifest(periods: DataFrame, segment: int) -> DataFrame:
+    """Segments of a presentation's periods (pid, period, duration) in order: number within the period, start on the
+    presentation's own time, and duration (the last of a period may be shorter)."""
+    placed = scan(periods, ["pid"], ["period"], F.floor(F.col("period") / 1000), sums={"_end": F.col("duration")})
+    n = F.ceil(F.col("duration") / segment)
+    rows = placed.where("duration > 0").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    own = F.col("number") * segment
+    return rows.select("pid", "period", "number", (F.col("_end") - F.col("duration") + own).alias("start"), F.least(F.lit(segment), F.col("duration") - own).alias("duration"))

@@ -190,3 +190,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.expr("(event_id div 16) ^ 1") % 65536
     s = _stream(spark, sf_dir).select((F.col("event_id") % 16).alias("pid"), seq.alias("seq"), "ts")
     return streaming.drain_reordered(s, 100, "reordered").select("pid", "seq", "place")
+
+
+_DELAYED = """select event_id % 16 as pid, (event_id // 16) % 65536 as seq, event_id // 16 as place from events where event_id // 16 % 10 <> 3"""
+
+
+@query("t3_reorder_by_delay", _DELAYED)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that lack every tenth packet: what follows a gap is given out once it is a day old."""
+    s = _stream(spark, sf_dir).where("event_id div 16 % 10 <> 3")
+    s = s.select((F.col("event_id") % 16).alias("pid"), (F.expr("event_id div 16") % 65536).alias("seq"), "ts")
+    return streaming.drain_reordered(s, 1 << 30, "delayed", DAY).select("pid", "seq", "place")

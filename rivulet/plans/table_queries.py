@@ -376,3 +376,47 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.format_string('<EventStream timescale="1000"><Event presentationTime="%d" duration="%d" id="%d">', "pid", "size", "event_id")
     m = events(spark, sf_dir).select("pid", F.concat(head, text.escape_entities(F.concat(F.lit("a & <b> "), F.col("event_type"))), F.lit("</Event></EventStream>")).alias("text"))
     return subtitles.event_stream(m).select(F.col("id").alias("event_id"), "presentation_time", "duration", "message")
+
+
+_OBJECTS = """with d as (select doc_id as toi, text, strlen(text) as n, (strlen(text) + 999) // 1000 as parts from documents where strlen(text) > 0),
+g as (select toi, i from d, range(1000) r(i) where i < parts and (toi + i) % 7 <> 0),
+s as (select d.toi, d.n, d.parts, any_value(d.text) as text, count(g.i) as have, sum(least(1000, d.n - g.i * 1000)) as received from d join g using (toi) group by all)
+select toi, cast(received as bigint) as received, have = parts as complete, case when have = parts then md5(text) end as digest from s"""
+
+
+@query("gathered_objects", _OBJECTS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as objects in parts of 1000 bytes, of which every seventh is lost and every third comes twice."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''").select(F.col("doc_id").alias("pid"), F.encode("text", "UTF-8").alias("data"), F.octet_length("text").alias("total"))
+    parts = framing.fixed_frames(d, 1000, 1, 1, 1).join(d.select("pid", "total"), "pid").where("(pid + frame) % 7 <> 0")
+    copies = F.explode(F.when(F.col("frame") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    sent = parts.withColumn("copy", copies).select(F.lit(1).alias("tsi"), F.col("pid").alias("toi"), (F.col("frame") * 1000).alias("first"), "data", "total")
+    return aggregates.gather_objects(sent).select("toi", "received", "complete", F.md5("data").alias("digest"))
+
+
+_WALK = """with p as (select p_size as pid, p_partkey as period, cast(floor(p_retailprice) as bigint) as duration from part),
+s as (select *, sum(duration) over (partition by pid order by period) - duration as b from p)
+select pid, period, n as number, cast(b + n * 400 as bigint) as start, least(400, duration - n * 400) as duration from s, range(100) r(n) where n < ceil(duration / 400.0)"""
+
+
+@query("manifest_walk", _WALK)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    periods = p.select(F.col("p_size").alias("pid"), F.col("p_partkey").alias("period"), F.floor("p_retailprice").alias("duration"))
+    return aggregates.walk_manifest(periods, 400)
+
+
+_SAMPLES = """with c as (select conv_id as pid, turn as number, turn * 2000 as s, turn * 2000 + 1500 + turn % 3 * 1500 as e, text from conversations),
+b as (select distinct pid, t from (select pid, s as t from c union all select pid, e from c)),
+i as (select pid, t, lead(t) over (partition by pid order by t) as u from b)
+select i.pid, i.t as start, i.u as "end", coalesce(string_agg(c.text, chr(10) order by c.s, c.number), '') as text
+from i left join c on c.pid = i.pid and c.s <= i.t and c.e > i.t where i.u is not null group by all"""
+
+
+@query("cue_samples", _SAMPLES)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.operators.packets import captions
+    from rivulet.sources import subtitles
+
+    c = captions(spark, sf_dir).select("pid", F.col("seq").alias("number"), "start", (F.col("start") + 1500 + F.col("seq") % 3 * 1500).alias("end"), "text")
+    return subtitles.cue_samples(c)

@@ -134,3 +134,15 @@ def event_stream(df: DataFrame, text: str = "text") -> DataFrame:
     rows = df.select("pid", F.explode(parts).alias("e"))
     n = lambda name: F.expr(f"try_cast(regexp_extract(e, '\\\\b{name}=\"([0-9]+)\"', 1) as bigint)")
     return rows.select("pid", n("presentationTime").alias("presentation_time"), n("duration").alias("duration"), n("id").alias("id"), F.trim(unescape_entities(F.regexp_replace("e", r"<[^>]*>", ""))).alias("message"))
+
+
+def cue_samples(cues: DataFrame) -> DataFrame:
+    """Samples that follow on without overlapping, from cues (pid, number, start, end, text) that may overlap: one for each span
+    between neighbouring starts and ends, with the texts of all cues shown then, in order; empty where there is none. A file's
+    cues are one reader's, and so bounded."""
+    gathered = cues.where("start < end").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("start", "number", "end", "text"))).alias("cues"))
+    times = F.array_sort(F.array_distinct(F.flatten(F.transform("cues", lambda c: F.array(c["start"], c["end"])))))
+    spans = gathered.withColumn("times", times).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("times") - 2)))
+    at, until = F.get("times", F.col("i")), F.get("times", F.col("i") + 1)
+    shown = F.transform(F.filter("cues", lambda c: (c["start"] <= at) & (c["end"] > at)), lambda c: c["text"])
+    return spans.select("pid", at.alias("start"), until.alias("end"), F.concat_ws("\n", shown).alias("text"))

@@ -79,10 +79,10 @@ def drain_join(left: DataFrame, right: DataFrame, late: str, wait: str, name: st
 _WAITING = "due long, waiting array<long>, held array<long>"
 
 
-def reorder(stream: DataFrame, most: int) -> DataFrame:
+def reorder(stream: DataFrame, most: int, delay_ms: int | None = None) -> DataFrame:
     """pid, seq, ts, place in order of 16-bit seq, carried on over wraps: packets wait until they are next, or until `most` of
-    their stream wait, when the lowest is given out and the gap counted as lost. The first number of a stream is the lowest
-    of its first `most`. Repeats and packets that are too late are dropped. Rows without seq or ts are dropped."""
+    their stream wait, or until the lowest is older by more than delay_ms than the newest arrival; then the lowest is given out
+    and the gap counted as lost. The first number of a stream is the lowest of those that wait when one is first given out. Repeats and packets that are too late are dropped. Rows without seq or ts are dropped."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,6 +90,7 @@ def reorder(stream: DataFrame, most: int) -> DataFrame:
         queue = dict(zip(waiting, held, strict=True))
         heap, out = list(queue), []
         heapq.heapify(heap)
+        newest = max(held, default=0)
         for frame in frames:
             times = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
             for seq, ts in zip(frame["seq"].astype("int64").tolist(), times, strict=True):
@@ -99,7 +100,8 @@ def reorder(stream: DataFrame, most: int) -> DataFrame:
                     continue
                 queue[at] = ts
                 heapq.heappush(heap, at)
-                while queue and (due in queue or len(queue) > most):
+                newest = max(newest, ts)
+                while queue and (due in queue or len(queue) > most or delay_ms is not None and newest - queue[heap[0]] > 1000 * delay_ms):
                     at = heapq.heappop(heap)
                     out.append((key[0], at % 65536, pd.Timestamp(queue.pop(at), unit="us"), at))
                     due = at + 1
@@ -111,11 +113,11 @@ def reorder(stream: DataFrame, most: int) -> DataFrame:
     return whole.groupBy("pid").applyInPandasWithState(run, schema, _WAITING, "append", GroupStateTimeout.NoTimeout)
 
 
-def drain_reordered(stream: DataFrame, most: int, name: str) -> DataFrame:
+def drain_reordered(stream: DataFrame, most: int, name: str, delay_ms: int | None = None) -> DataFrame:
     """`reorder` to the end of what there is now; what then still waits is read from the stream's state and given out too."""
     spark = stream.sparkSession
     out, state = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
-    found = reorder(stream, most)
+    found = reorder(stream, most, delay_ms)
     query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     given = spark.read.schema(found.schema).parquet(out)
