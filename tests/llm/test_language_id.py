@@ -32,8 +32,8 @@ def test_forward_backward_in_blocks():
     assert np.allclose(L.expected_pairs(scores, bounds, chain), pairs, atol=1e-6)
 
 
-def test_held_out_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def test_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
     rows = L.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
     assert len(rows) == docs.count() and len(held) > 100
@@ -41,8 +41,8 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
 
 
-def test_code_switching(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def test_code_switching(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
     crf = L.train(docs)
     text = {r["lang"]: r["text"] for r in docs.where("doc_id > 100 and n_chars > 600").collect()}
     mixed = " ".join(text["de"].split()[:40] + text["es"].split()[:40])
@@ -51,8 +51,8 @@ def test_code_switching(spark):
     assert said[:35].count("de") >= 32 and said[45:].count("es") >= 32
 
 
-def test_edges(edges, nothing, spark):
-    crf = L.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+def test_edges(sf_dir, edges, nothing, spark):
+    crf = L.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = {r["doc_id"]: r for r in L.identify(edges, crf).collect()}
     assert [found[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and found[1]["score"] == 0
     assert found[None]["held_out"] is False and found[6]["lang_pred"] in crf.labels

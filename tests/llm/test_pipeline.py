@@ -6,10 +6,10 @@ from tests.llm.test_jaccard_join import brute as components
 from tests.llm.test_packing import want_pieces
 
 
-def plain(rows, model):
+def plain(rows, model, common):
     """The five stages over (doc_id, text) rows, one row at a time."""
     rules = quality.Rules()
-    kept = [(i, j[7]) for i, t in rows for j in [quality.judge(t or "", rules)] if j[6]]
+    kept = [(i, j[7]) for i, t in rows for j in [quality.judge(t or "", rules, common)] if j[6]]
     last = {}
     for i, t in kept:
         last[t] = max(i, last.get(t, i))
@@ -31,7 +31,7 @@ def test_stages(spark, sf_dir, docs):
         now = stage(spark, now, sf_dir)
         assert now.columns == docs.columns
     model = secrets.train(now)
-    want = plain([(r["doc_id"], r["text"]) for r in docs.collect()], model)
+    want = plain([(r["doc_id"], r["text"]) for r in docs.collect()], model, quality.furniture(docs, quality.Rules()))
     assert len(want) > 50
     got = C.run(spark, sf_dir)
     assert sorted(tuple(r) for r in got.select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == sorted(want_pieces(want, 2048))
