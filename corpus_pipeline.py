@@ -1,13 +1,18 @@
 """From raw documents to packed training sequences, in five stages, each reading what the one before has written.
 
 All stages but the last return the columns of `documents`. The last returns one row per packed piece.
+
+Defined cases: rows with a null or empty text fail the base rules and go in the first stage; of rows with equal texts the one
+with the largest doc_id stays (a null id is the smallest); rows that repeat a doc_id with different texts are kept or dropped
+each by its own text until the near stage, which takes an id's rows as one document; rows with a null doc_id are never dropped
+as near copies; extra columns pass through all stages but the last; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm.common import cut
+from rivulet.llm.common import cut, forget
 from rivulet.llm.exact_dedup import drop_copies
 from rivulet.llm.jaccard_join import drop_near_copies
 from rivulet.llm.packing import best_fit_packing
@@ -52,11 +57,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs, name)
+            forget(*written)  # what the stage has read
+            written = [docs]
     return docs
 
 
