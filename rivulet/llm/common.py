@@ -6,6 +6,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of `rows` at most for what runs inside, and then as they were: with Spark's 10,000 whole texts, buffers of a
+    task come to hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """df's batches through make()(part) -> columns; make runs once a task. Only one part is held at a time."""
     fields = [(f.name, f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema.fields]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import (
-    cut, documents, forget, id_text, join_groups, map_texts, mix, shingle_hashes, sieved, slices, text_bytes, without_ids, word_hashes,
+    cut, documents, forget, id_text, join_groups, map_texts, mix, shingle_hashes, sieved, slices, small_batches, text_bytes, without_ids, word_hashes,
 )
 
 #: Two sets link at 100 * |intersection| >= PERCENT * |union|.
@@ -251,6 +251,11 @@ def all_pairs(tiles: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
+    with small_batches(docs.sparkSession):  # all that moves texts runs before this returns
+        return _components_of(docs)
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
     rows = id_text(docs)
     level = levels(sketch(rows))
     sig = cut(signatures(rows, level), "signatures")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, documents, id_text, map_texts
+from rivulet.llm.common import cut, documents, id_text, map_texts, small_batches
 
 #: A worker forgets the words that it has encoded beyond so many.
 CACHE_WORDS = 100_000
@@ -208,7 +208,9 @@ def pack(found: DataFrame, seq_len: int, group_rows: int = 32_768) -> DataFrame:
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, seq_len: int = 2048) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0)."""
-    return pack(cut(pieces(docs, tokenizer, seq_len), "pieces"), seq_len)
+    with small_batches(docs.sparkSession):
+        found = cut(pieces(docs, tokenizer, seq_len), "pieces")
+    return pack(found, seq_len)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
