@@ -199,5 +199,5 @@ _DELAYED = """select event_id % 16 as pid, (event_id // 16) % 65536 as seq, even
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams that lack every tenth packet: what follows a gap is given out once it is a day old."""
     s = _stream(spark, sf_dir).where("event_id div 16 % 10 <> 3")
-    s = s.select((F.col("event_id") % 16).alias("pid"), (F.expr("event_id div 16") % 65536).alias("seq"), "ts")
-    return streaming.drain_reordered(s, 1 << 30, "delayed", DAY).select("pid", "seq", "place")
+    s = s.select((F.col("event_id") % 16).alias("pid"), (F.expr("event_id div 16") % 65536).alias("seq"), "ts", "event_id")
+    return streaming.drain_reordered(s, 1 << 30, "delayed", DAY, F.col("event_id")).select("pid", "seq", "place")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.sources.scratch import shared_dir
@@ -75,49 +76,67 @@ def drain_join(left: DataFrame, right: DataFrame, late: str, wait: str, name: st
     return found.unionByName(waiting, allowMissingColumns=True)
 
 
-#: State of a reordered stream: the number that is due (-1 before any was given out), and what waits: numbers and times.
-_WAITING = "due long, waiting array<long>, held array<long>"
+#: State of a reordered stream: the number that is due (-1 before any was given out), the highest number and the newest time so
+#: far, and what waits: numbers and times.
+_WAITING = "due long, top long, newest long, waiting array<long>, held array<long>"
+#: Rows of one frame that is given out.
+_FRAME = 1 << 16
 
 
-def reorder(stream: DataFrame, most: int, delay_ms: int | None = None) -> DataFrame:
+def reorder(stream: DataFrame, most: int, delay_ms: int | None = None, arrival: Column | None = None) -> DataFrame:
     """pid, seq, ts, place in order of 16-bit seq, carried on over wraps: packets wait until they are next, or until `most` of
     their stream wait, or until the lowest is older by more than delay_ms than the newest arrival; then the lowest is given out
-    and the gap counted as lost. The first number of a stream is the lowest of those that wait when one is first given out. Repeats and packets that are too late are dropped. Rows without seq or ts are dropped."""
+    and the gap counted as lost. The first number of a stream is the lowest of those that wait when one is first given out. Repeats and packets that are too late are dropped. Rows without seq or ts are dropped.
+
+    arrival: the order in which a batch's packets came (whole numbers, nulls first; without it, ts), as a shuffle keeps none: one
+    more than 32768 numbers from the highest so far would be taken for one of another turn. A task holds 24 bytes for each of a
+    stream's packets in a batch."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, waiting, held = state.get if state.exists else (-1, [], [])
+        due, top, newest, waiting, held = state.get if state.exists else (-1, -1, 0, [], [])
         queue = dict(zip(waiting, held, strict=True))
         heap, out = list(queue), []
         heapq.heapify(heap)
-        newest = max(held, default=0)
-        for frame in frames:
-            times = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
-            for seq, ts in zip(frame["seq"].astype("int64").tolist(), times, strict=True):
-                near = due if due >= 0 else heap[0] if heap else seq
+        parts = [f[["came", "us", "seq"]].to_numpy(np.int64) for f in frames]
+        rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+        del parts
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+
+        def given() -> pd.DataFrame:
+            places, times = (np.array(x, np.int64) for x in zip(*out, strict=True))
+            out.clear()
+            return pd.DataFrame({"pid": pd.array([key[0]] * len(places), "Int64"), "seq": places % 65536, "us": times, "place": places})
+
+        for first in range(0, len(order), _FRAME):
+            _, times, numbers = rows[order[first : first + _FRAME]].T.tolist()
+            for seq, us in zip(numbers, times, strict=True):
+                near = top if top >= 0 else seq
                 at = near + ((seq - near + 32768) % 65536) - 32768
                 if at < due or at in queue:
                     continue
-                queue[at] = ts
+                queue[at] = us
                 heapq.heappush(heap, at)
-                newest = max(newest, ts)
+                top, newest = max(top, at), max(newest, us)
                 while queue and (due in queue or len(queue) > most or delay_ms is not None and newest - queue[heap[0]] > 1000 * delay_ms):
                     at = heapq.heappop(heap)
-                    out.append((key[0], at % 65536, pd.Timestamp(queue.pop(at), unit="us"), at))
+                    out.append((at, queue.pop(at)))
                     due = at + 1
-        state.update((due, list(queue), list(queue.values())))
-        yield pd.DataFrame(out, columns=["pid", "seq", "ts", "place"])
+            if out:
+                yield given()
+        state.update((due, top, newest, list(queue), list(queue.values())))
 
-    whole = stream.where("seq is not null and ts is not null").select("pid", "seq", "ts")
-    schema = "pid long, seq long, ts timestamp, place long"
-    return whole.groupBy("pid").applyInPandasWithState(run, schema, _WAITING, "append", GroupStateTimeout.NoTimeout)
+    came = F.unix_micros("ts") if arrival is None else F.coalesce(arrival.cast("long"), F.lit(-(1 << 63)))
+    whole = stream.where("seq is not null and ts is not null").select("pid", F.col("seq").cast("long").alias("seq"), F.unix_micros("ts").alias("us"), came.alias("came"))
+    made = whole.groupBy("pid").applyInPandasWithState(run, "pid long, seq long, us long, place long", _WAITING, "append", GroupStateTimeout.NoTimeout)
+    return made.select("pid", "seq", F.timestamp_micros("us").alias("ts"), "place")
 
 
-def drain_reordered(stream: DataFrame, most: int, name: str, delay_ms: int | None = None) -> DataFrame:
+def drain_reordered(stream: DataFrame, most: int, name: str, delay_ms: int | None = None, arrival: Column | None = None) -> DataFrame:
     """`reorder` to the end of what there is now; what then still waits is read from the stream's state and given out too."""
     spark = stream.sparkSession
     out, state = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
-    found = reorder(stream, most, delay_ms)
+    found = reorder(stream, most, delay_ms, arrival)
     query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     given = spark.read.schema(found.schema).parquet(out)
