@@ -188,8 +188,8 @@ _REORDERED = """with n as (select event_id % 16 as pid, event_id, xor(event_id /
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen streams in which every two neighbours arrive swapped; what waits at the end of input is given out."""
     seq = F.expr("(event_id div 16) ^ 1") % 65536
-    s = _stream(spark, sf_dir).select((F.col("event_id") % 16).alias("pid"), seq.alias("seq"), "ts")
-    return streaming.drain_reordered(s, 100, "reordered").select("pid", "seq", "place")
+    s = _stream(spark, sf_dir).select((F.col("event_id") % 16).alias("pid"), seq.alias("seq"), "ts", "event_id")
+    return streaming.drain_reordered(s, 100, "reordered", arrival=F.col("event_id")).select("pid", "seq", "place")
 
 
 _DELAYED = """select event_id % 16 as pid, (event_id // 16) % 65536 as seq, event_id // 16 as place from events where event_id // 16 % 10 <> 3"""
