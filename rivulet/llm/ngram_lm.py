@@ -1,11 +1,12 @@
 """Operator 10, LM scoring by an Elias-Fano n-gram trie.
 
 Counting covers every training document: unigrams first, which give each word a number (in the order of its hash), then
-bigrams of numbers. The trie is cut into shards by the first word's hash; each is built by one task and written to the
-shared folder as plain arrays that every worker memory-maps. A level holds its sorted keys as an Elias-Fano sequence
-(low bits packed, high bits in unary, sampled for selection) and one quantised smoothed log probability per key. A bigram's
-key is its context's place within the shard times the vocabulary plus the successor, so a query selects the context's
-stretch of the sequence and searches the successor there.
+bigrams of numbers, then trigrams of bigrams' places. The trie is cut into shards by the first word's hash; each is built by
+one task and written to the shared folder as plain arrays that every worker memory-maps. Below the unigrams, a level is two
+Elias-Fano sequences (low bits packed, high bits in unary, sampled for selection): pointers, which tell for each node of the
+level above where its successors start, and the successors, raised by the last one of the node before so that they ascend. A
+trigram's successor is stored relative to its context: as its rank among the successors of the word before it, of which
+there are far fewer than words. Each node has one quantised smoothed log probability, and one back-off.
 
 Smoothing: interpolated absolute discounting over add-one unigrams, log10 in 256 steps that reach down to the least
 probability that the counts allow, so that nothing is clipped.
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, documents, id_text, shared_dir, signed, slices, text_bytes, word_hashes
+from rivulet.llm.common import cut, documents, id_text, shared_dir, signed, slices, small_batches, text_bytes, word_hashes
 
 DISCOUNT = 0.75
 #: Shards that a worker keeps open at once.
 MAX_OPEN = 256
 #: Words of a shard, about; bytes of text that a task holds at once; counts that it merges before it sends them.
-SHARD_WORDS, PART_BYTES, MERGE_ROWS = 1 << 16, 6 << 20, 2_000_000
+SHARD_WORDS, PART_BYTES, MERGE_ROWS = 1 << 14, 2 << 20, 1_500_000
 #: The end token's hash; the lowest bit of a word's is cleared by `token_hashes`.
 END = np.uint64(0x45E4D)
 
@@ -45,10 +46,11 @@ def quantise(log10p: np.ndarray, step: float) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of distinct 64-bit numbers, as the arrays low, high and zeros, and three scalars."""
+    """A sorted sequence of distinct 64-bit numbers, as the arrays low, high, zeros and ones, and three scalars.
+    For `access`, numbers may repeat."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, shape: np.ndarray) -> None:
-        self.low, self.high, self.zeros = low, high, zeros
+    def __init__(self, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, shape: np.ndarray, ones: np.ndarray | None = None) -> None:
+        self.low, self.high, self.zeros, self.ones = low, high, zeros, ones
         self.n, self.bits, self.buckets = (int(x) for x in shape)
 
     @staticmethod
@@ -67,6 +69,7 @@ class EliasFano:
         ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
         zeros = 64 * np.arange(len(high), dtype=np.int64)
         zeros[1:] -= ones[:-1]
+        before = np.append(0, ones[:-1])
         low = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits and n:
             rest = values & np.uint64((1 << bits) - 1)
@@ -75,7 +78,7 @@ class EliasFano:
             np.bitwise_or.at(low, word, rest << shift)
             over = (place & 63) + bits > 64
             np.bitwise_or.at(low, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
-        return {"low": low, "high": high, "zeros": zeros, "shape": np.array([n, bits, buckets], np.int64)}
+        return {"low": low, "high": high, "zeros": zeros, "ones": before, "shape": np.array([n, bits, buckets], np.int64)}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -89,8 +92,18 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high bits."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left, w = k - self.zeros[word], ~self.high[word]
+        return self._select(k, self.zeros, ~np.uint64(0))
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at places i, all of which are there."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        top = self._select(i, self.ones, np.uint64(0)) - i
+        return (top << self.bits) | self._low(i).astype(np.int64)
+
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
+        word = np.searchsorted(before, k, "right") - 1
+        left, w = k - before[word], self.high[word] ^ flip
         at = np.zeros(len(k), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             below = np.bitwise_count(w & np.uint64((1 << width) - 1)).astype(np.int64)
@@ -124,6 +137,50 @@ class EliasFano:
         return out
 
 
+class Children:
+    """Successors of the nodes of a level: pointers to where each node's start, and one ascending sequence of them all."""
+
+    KEYS = ("low", "high", "zeros", "ones", "shape")
+
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.pointers, self.values = (EliasFano(*[arrays[kind + k] for k in ("low", "high", "zeros", "shape", "ones")]) for kind in ("at_", ""))
+
+    @staticmethod
+    def arrays(node: np.ndarray, value: np.ndarray, nodes: int) -> dict[str, np.ndarray]:
+        """node and value: sorted by both, distinct; nodes: their number, those without successors too."""
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(node)))
+        raised = np.cumsum(value[first + sizes - 1] + 1)
+        values = value + np.repeat(np.append(0, raised)[:-1], sizes) if len(node) else value
+        starts = np.searchsorted(node, np.arange(nodes + 1))
+        pointers = EliasFano.arrays(starts.astype(np.uint64), len(node) + 1)
+        return EliasFano.arrays(values.astype(np.uint64), int(raised[-1]) if len(node) else 1) | {f"at_{k}": a for k, a in pointers.items()}
+
+    def starts(self, node: np.ndarray) -> np.ndarray:
+        return self.pointers.access(node)
+
+    def _raised(self, start: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), np.int64)
+        inner = np.flatnonzero(start > 0)
+        out[inner] = self.values.access(start[inner] - 1) + 1
+        return out
+
+    def find(self, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each node's successor (-1: none), and where the node's start."""
+        own, back = np.unique(node, return_inverse=True)
+        start, end = self.starts(own), self.starts(own + 1)
+        raised = self._raised(start)
+        at = self.values.find((raised[back] + value).astype(np.uint64))
+        return np.where((at >= start[back]) & (at < end[back]), at, -1), start[back]
+
+    def all_values(self, nodes: int) -> np.ndarray:
+        """The successors of all nodes, as they were before they were raised."""
+        starts = self.starts(np.arange(nodes + 1))
+        sizes = np.diff(starts)
+        some = np.flatnonzero(sizes)
+        return self.values.access(np.arange(self.values.n)) - np.repeat(self._raised(starts[:-1][some]), sizes[some])
+
+
 def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Each array as a file, put in place whole under a name of its own first, so that attempts of a task on several machines
     may write at once: they write the same."""
@@ -187,6 +244,9 @@ class Model:
         self.words = firsts[-1]
         # (c - DISCOUNT) / total, DISCOUNT * kinds / total and add-one shares are all a quarter of 1 / (N + V + 1) at least
         self.step = float(np.log10(4 * (tokens + self.words + 1))) / 255
+        #: The number of each shard's first bigram, and of the most successors that a word has; set once bigrams are built.
+        self.pair_firsts, self.most = np.zeros(1, np.int64), 1
+        self.order = 2
         self.open: OrderedDict[tuple[str, int], dict] = OrderedDict()
 
     def __getstate__(self) -> dict:
@@ -205,8 +265,13 @@ class Model:
             if not os.path.exists(f"{self.folder}/{name}.shape.npy"):
                 self.open[kind, shard] = {}
             else:
-                got = load(self.folder, name, ("low", "high", "zeros", "shape", *({"word": ("count",), "pair": ("code", "back")}[kind])))
-                self.open[kind, shard] = got | {"keys": EliasFano(got["low"], got["high"], got["zeros"], got["shape"])}
+                if kind == "word":
+                    got = load(self.folder, name, (*Children.KEYS, "count"))
+                    got["keys"] = EliasFano(got["low"], got["high"], got["zeros"], got["shape"])
+                else:
+                    got = load(self.folder, name, (*Children.KEYS, *(f"at_{k}" for k in Children.KEYS), "code", "back"))
+                    got["keys"] = Children(got)
+                self.open[kind, shard] = got
         return self.open[kind, shard]
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +318,8 @@ class Model:
         context = keys.astype(np.int64) // (self.words + 1)
         return np.minimum(np.searchsorted(self.firsts, context, "right") - 1, len(self.firsts) - 2)
 
-    def build(self, shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Writes the bigrams of a shard: sorted keys with their counts."""
+    def build(self, shard: int, keys: np.ndarray, counts: np.ndarray) -> int:
+        """Writes the bigrams of a shard, sorted keys with their counts; gives the most successors of a word."""
         wide = self.words + 1
         context, word = keys // wide, keys % wide
         order = np.argsort(word, kind="stable")
@@ -265,12 +330,91 @@ class Model:
         total = np.add.reduceat(counts, at)
         back = DISCOUNT * kinds / total
         p = (counts - DISCOUNT) / np.repeat(total, kinds) + np.repeat(back, kinds) * low
-        first, last = int(self.firsts[shard]), int(self.firsts[shard + 1])
-        places = last - first + (shard == len(self.firsts) - 2)
+        first, places = int(self.firsts[shard]), self.places(shard)
         backs = np.zeros(places, np.uint8)
         backs[context[at] - first] = quantise(np.log10(back), self.step)
-        arrays = EliasFano.arrays((keys - first * wide).astype(np.uint64), places * wide)
+        arrays = Children.arrays(context - first, word, places)
         save(self.folder, f"pair-{shard}", arrays | {"code": quantise(np.log10(p), self.step), "back": backs})
+        return int(kinds.max())
+
+    def places(self, shard: int) -> int:
+        """Contexts of a shard of bigrams; the last one holds the row start too."""
+        return int(self.firsts[shard + 1] - self.firsts[shard]) + (shard == len(self.firsts) - 2)
+
+    def triples(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Keys bigram * most + rank of all rows' token triples, the row start counted as a token. All bigrams known."""
+        known, place = np.unique(hashes, return_inverse=True)
+        number = self.numbers(known)[0][place]
+        key, where = np.unique(self._before(number, bounds) * (self.words + 1) + number, return_inverse=True)
+        at, rank = self.linked(key // (self.words + 1), key % (self.words + 1))[:2]
+        later = np.ones(len(place), bool)
+        later[bounds[:-1]] = False
+        i = np.flatnonzero(later)
+        return at[where[i - 1]] * self.most + rank[where[i]]
+
+    def triple_shard(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pair_firsts, keys.astype(np.int64) // self.most, "right") - 1
+
+    def build_triples(self, shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Writes the trigrams of a shard: sorted keys with their counts."""
+        pairs = self.level("pair", shard)["keys"]
+        nodes = pairs.values.n
+        bigram, rank = keys // self.most - self.pair_firsts[shard], keys % self.most
+        middle = pairs.all_values(self.places(shard))[bigram]
+        order = np.argsort(middle, kind="stable")
+        edges = np.searchsorted(middle[order], self.firsts)
+        low = np.empty(len(keys))
+        for s in np.flatnonzero(np.diff(edges)):
+            own, mine = self.level("pair", int(s)), order[edges[s] : edges[s + 1]]
+            word, back = np.unique(middle[mine] - self.firsts[s], return_inverse=True)
+            low[mine] = 10 ** (-self.step * own["code"][own["keys"].starts(word)[back] + rank[mine]])
+        at = np.flatnonzero(np.append(True, bigram[1:] != bigram[:-1]))
+        kinds = np.diff(np.append(at, len(keys)))
+        total = np.add.reduceat(counts, at)
+        back = DISCOUNT * kinds / total
+        p = (counts - DISCOUNT) / np.repeat(total, kinds) + np.repeat(back, kinds) * low
+        backs = np.zeros(nodes, np.uint8)
+        backs[bigram[at]] = quantise(np.log10(back), self.step)
+        save(self.folder, f"triple-{shard}", Children.arrays(bigram, rank, nodes) | {"code": quantise(np.log10(p), self.step), "back": backs})
+
+    def linked(self, context: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs of a context (-1: unknown, V: row start; ascending) and a word number (-1: unknown): the bigram's number and
+        its rank among its context's (-1: no such bigram), its log10 probability, and the context's back-off."""
+        place, rank = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
+        p, back = np.zeros(len(context)), np.zeros(len(context))
+        shard = np.minimum(np.searchsorted(self.firsts, context, "right") - 1, len(self.firsts) - 2)
+        shard[context == self.words] = len(self.firsts) - 2
+        edges = np.searchsorted(shard, np.arange(-1, len(self.firsts)))
+        for s in range(len(self.firsts) - 1):
+            a, b = edges[s + 1], edges[s + 2]
+            if a == b or not (own := self.level("pair", s)):
+                continue
+            local = context[a:b] - self.firsts[s]
+            back[a:b] = -self.step * own["back"][local]
+            ask = np.flatnonzero(number[a:b] >= 0)
+            at, start = own["keys"].find(local[ask], number[a:b][ask])
+            ok = at >= 0
+            p[a:b][ask[ok]] = -self.step * own["code"][at[ok]]
+            rank[a:b][ask[ok]] = (at - start)[ok]
+            place[a:b][ask[ok]] = at[ok] + self.pair_firsts[s]
+        return place, rank, p, back
+
+    def longer(self, place: np.ndarray, rank: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log10 probabilities after two words, from the bigram before (its number, -1: unknown), the rank of the bigram that
+        follows (-1: unknown) and that one's log10 probability."""
+        out = p.copy()
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], self.pair_firsts)
+        for s in np.flatnonzero(np.diff(edges)):
+            if not (own := self.level("triple", int(s))):
+                continue
+            mine = order[edges[s] : edges[s + 1]]
+            local = place[mine] - self.pair_firsts[s]
+            out[mine] -= self.step * own["back"][local]
+            ask = np.flatnonzero(rank[mine] >= 0)
+            at = own["keys"].find(local[ask], rank[mine][ask])[0]
+            out[mine[ask[at >= 0]]] = -self.step * own["code"][at[at >= 0]]
+        return out
 
     def score(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each row: tokens known, base score and model score."""
@@ -284,22 +428,20 @@ class Model:
         pair, where = np.unique(key, return_inverse=True)
         context, word = pair // len(known) - 1, pair % len(known)
         p = lower[word].astype(np.float64)
+        token = p[where]
         if self.words:
-            start = context == self.words
-            shard = np.minimum(np.searchsorted(self.firsts, context, "right") - 1, len(self.firsts) - 2)
-            shard[start] = len(self.firsts) - 2
-            edges = np.searchsorted(shard, np.arange(-1, len(self.firsts)))
-            for s in range(len(self.firsts) - 1):
-                a, b = edges[s + 1], edges[s + 2]
-                if a == b or not (own := self.level("pair", s)):
-                    continue
-                local = context[a:b] - self.firsts[s]
-                p[a:b] -= self.step * own["back"][local]
-                ask = np.flatnonzero(number[word[a:b]] >= 0)
-                at = own["keys"].find((local[ask] * (self.words + 1) + number[word[a:b]][ask]).astype(np.uint64))
-                p[a:b][ask[at >= 0]] = -self.step * own["code"][at[at >= 0]]
+            at, rank, seen, back = self.linked(context, number[word])
+            p = np.where(at >= 0, seen, p + back)
+            token = p[where]
+            if self.order > 2:
+                later = np.ones(len(place), bool)
+                later[bounds[:-1]] = False
+                i = np.flatnonzero(later)
+                both, here = np.unique(where[i - 1] * len(pair) + where[i], return_inverse=True)
+                first, last = both // len(pair), both % len(pair)
+                token[i] = self.longer(at[first], rank[last], p[last])[here]
         rows = bounds[:-1]
-        return np.add.reduceat((count > 0)[place].astype(np.int64), rows), np.add.reduceat(base[place], rows), np.add.reduceat(p[where], rows)
+        return np.add.reduceat((count > 0)[place].astype(np.int64), rows), np.add.reduceat(base[place], rows), np.add.reduceat(token, rows)
 
 
 def local_path(uri: str) -> str:
@@ -309,8 +451,13 @@ def local_path(uri: str) -> str:
     return parts.path
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts all rows of docs (doc_id, text), and writes the trie."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """Counts all rows of docs (doc_id, text), and writes the trie of two orders or three."""
+    with small_batches(docs.sparkSession):
+        return _train(docs, order)
+
+
+def _train(docs: DataFrame, order: int) -> Model:
     spark = docs.sparkSession
     folder = local_path(shared_dir(spark, "trie"))
     words = cut(counted(docs.select("text"), "key long, c long", lambda: lambda part: token_hashes(part)[0], lambda k: {}).groupBy("key").agg(F.sum("c").alias("c")), "words")
@@ -337,19 +484,36 @@ def train(docs: DataFrame) -> Model:
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         keys, counts = merged(rows["key"].to_numpy(), rows["c"].to_numpy())
-        model.build(key[0].as_py(), keys, counts)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+        most = model.build(key[0].as_py(), keys, counts)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "most": pa.array([most], pa.int64())})
 
     pairs = counted(docs.select("text"), "key long, c long, shard int", keys_of, lambda k: {"shard": model.pair_shard(k).astype(np.int32)})
-    pairs.groupBy("shard").applyInArrow(build, "shard int, n long").collect()  # one row a shard
+    made = {r["shard"]: r for r in pairs.groupBy("shard").applyInArrow(build, "shard int, n long, most long").collect()}  # one row a shard
+    model.pair_firsts = np.append(0, np.cumsum([made[s]["n"] if s in made else 0 for s in range(1 << bits)])).astype(np.int64)
+    model.most = max(r["most"] for r in made.values())
+    model.order = order
+    if order < 3:
+        return model
+
+    def triples_of() -> Callable[[pa.RecordBatch], np.ndarray]:
+        return lambda part: model.triples(*token_hashes(part))
+
+    def build_triples(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, counts = merged(rows["key"].to_numpy(), rows["c"].to_numpy())
+        model.build_triples(key[0].as_py(), keys, counts)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+
+    triples = counted(docs.select("text"), "key long, c long, shard int", triples_of, lambda k: {"shard": model.triple_shard(k).astype(np.int32)})
+    triples.groupBy("shard").applyInArrow(build_triples, "shard int, n long").collect()  # one row a shard
     return model
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows that aren't held out."""
+def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows that aren't held out. order: words
+    of the longest n-grams, 2 or 3."""
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 7 = 2"), F.lit(False))
     rows = id_text(docs)
-    model = train(rows.where(F.expr("crc32(cast(doc_id as string)) % 7 <> 2")))
+    model = train(rows.where(F.expr("crc32(cast(doc_id as string)) % 7 <> 2")), order)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,4 +527,4 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir))
+    return lm_scores(documents(spark, sf_dir), 3)

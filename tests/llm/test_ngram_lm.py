@@ -70,3 +70,64 @@ def test_elias_fano():
         assert (ef.find(values) == np.arange(len(values))).all()
         other = np.setdiff1d(rng.integers(0, universe, 500, dtype=np.uint64), values)
         assert (ef.find(other) == -1).all()
+
+
+def check_trigrams(df):
+    """Scores of order 3 against plain counts, and that successors of three words are stored as ranks behind pointers."""
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [["<s>", *tokens(t)] for i, t in rows if i is not None and not held(i)]
+    counts = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) + 1 - k)) for k in (1, 2, 3)]
+    one = {g[0]: c for g, c in counts[0].items() if g[0] != "<s>"}
+    n, v = sum(one.values()), len(one)
+    total, kinds = Counter(), Counter()
+    for c in counts[1:]:
+        for g, k in c.items():
+            total[g[:-1]] += k
+            kinds[g[:-1]] += 1
+
+    def p(context, w):
+        if not context:
+            return (one.get(w, 0) + 1) / (n + v + 1)
+        low = p(context[1:], w)
+        if not total[context]:
+            return low
+        c = counts[len(context)][(*context, w)]
+        return max(c - N.DISCOUNT, 0) / total[context] + N.DISCOUNT * kinds[context] / total[context] * low
+
+    got = N.lm_scores(df, 3).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for i, t in rows:
+        w = ["<s>", *tokens(t)]
+        want.setdefault((i, len(w) - 1), sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w))))
+    for r in got:
+        # up to three rounded factors a token, of half a step each
+        assert abs(r["score"] - want[r["doc_id"], r["n_tokens"]]) <= 1.5 * math.log10(4 * (n + v + 1)) / 255 * r["n_tokens"] + 1e-6
+    return got
+
+
+def test_three_orders(docs, edges, nothing, monkeypatch):
+    two = {r["doc_id"]: r["score"] for r in N.lm_scores(docs).collect()}
+    got = check_trigrams(docs)
+    assert any(abs(r["score"] - two[r["doc_id"]]) > 0.1 * r["n_tokens"] for r in got)
+    check_trigrams(edges)
+    assert N.lm_scores(nothing, 3).collect() == []
+    monkeypatch.setattr(N, "SHARD_WORDS", 200)  # many shards
+    assert sorted((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in got) == sorted((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in N.lm_scores(docs, 3).collect())
+
+
+def test_the_query_has_three_orders(spark, sf_dir):
+    got = {r["doc_id"]: r["score"] for r in N.query(spark, sf_dir).collect()}
+    assert got == {r["doc_id"]: r["score"] for r in N.lm_scores(N.documents(spark, sf_dir), 3).collect()}
+
+
+def test_successors_of_nodes():
+    rng = np.random.default_rng(1)
+    for nodes, n, most in ((1, 0, 5), (3, 10, 7), (500, 4000, 300), (2000, 9000, 50_000)):
+        keys = np.unique(rng.integers(0, nodes * most, n))
+        children = N.Children(N.Children.arrays(keys // most, keys % most, nodes))
+        assert (children.find(keys // most, keys % most)[0] == np.arange(len(keys))).all()
+        assert (children.all_values(nodes) == keys % most).all()
+        ask = rng.integers(0, nodes * most, 500)
+        assert ((children.find(ask // most, ask % most)[0] >= 0) == np.isin(ask, keys)).all()
