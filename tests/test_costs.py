@@ -20,3 +20,15 @@ def test_words_of_whole_texts(spark):
     rows = lambda d: sorted(map(tuple, d.select("pid", "ts", "text").collect()))
     assert rows(windows.words_of(df)) == rows(windows.words(one))
     assert "Exchange" not in plan(windows.words_of(df))
+
+
+def test_counter_mode_takes_no_call_for_each_block(spark):
+    key, vector = F.lit(b"0123456789abcdef"), F.lit(b"\x01\x02\x03\x04\x05\x06\x07\xff")
+    sizes = [0, 1, 15, 16, 17, 31, 32, 33, 47, 48, 1000, 70_000]
+    df = spark.createDataFrame([(n, random.Random(n).randbytes(n)) for n in sizes] + [(-1, None)], "n int, data binary")
+    got = {r["n"]: (r["data"], r["made"]) for r in df.select("n", "data", binary.counter_mode(F.col("data"), key, vector).alias("made")).collect()}
+    block = F.substring(F.aes_encrypt(F.concat(vector, F.unhex(F.lpad(F.hex("id"), 16, "0"))), key, F.lit("ECB"), F.lit("PKCS")), 1, 16)
+    stream = b"".join(bytes(r[0]) for r in spark.range(5000).orderBy("id").select(block).collect())
+    assert got[-1][1] is None
+    assert all(bytes(got[n][1]) == bytes(x ^ y for x, y in zip(got[n][0], stream, strict=False)) for n in sizes)
+    assert "transform(" not in plan(df.select(binary.counter_mode(F.col("data"), key, vector)))
