@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def tokens(text: Column, separators: str = " \t\r\n") -> Column:
@@ -25,6 +27,27 @@ def contains_ignoring_case(text: Column, part: Column) -> Column:
     return F.contains(F.lower(text), F.lower(part))
 
 
+@F.pandas_udf(BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The last rule of `similar_words`: characters taken, and how many of their takers follow on."""
+
+    def one(a: str | None, b: str | None) -> bool:
+        if not a or not b:
+            return False
+        free: dict[str, list[int]] = {}
+        for j in range(len(a) - 1, -1, -1):
+            free.setdefault(a[j], []).append(j)
+        taken = [0] * len(a)
+        for i, c in enumerate(b, 1):
+            if places := free.get(c):
+                taken[places.pop()] = i
+        matched = len(a) - taken.count(0)
+        run = sum(by == before + 1 for before, by in zip([0, *taken], taken))
+        return 2 * matched >= len(a) and (len(a) <= 4 and run >= 2 or 2 * run >= max(len(a), len(b)))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
 def similar_words(a: Column | str, b: Column | str) -> Column:
     """Whether word b is alike enough to be suggested for a. Never null: two nulls, and two equal words, are alike.
 
@@ -37,18 +60,7 @@ def similar_words(a: Column | str, b: Column | str) -> Column:
     begins = ((n >= 3) & (n < m) & b.startswith(a)) | ((m >= 3) & (m < n) & a.startswith(b))
     far = (F.contains(a, F.lit(":")) == F.contains(b, F.lit(":"))) & F.contains(low_b, low_a)
     holds = ((m >= 3) & F.contains(low_a, low_b)) | ((n >= 3) & F.contains(low_b, low_a))
-    own, other = F.split(a, ""), F.split(b, "")
-
-    def take(taken: Column, i: Column) -> Column:
-        free = F.zip_with(own, taken, lambda c, by: (c == F.get(other, i - 1)) & (by == 0))
-        at = F.array_position(free, F.lit(True)) - 1
-        return F.transform(taken, lambda by, j: F.when(j == at, i).otherwise(by))
-
-    taken = F.aggregate(F.sequence(F.lit(1), m), F.array_repeat(F.lit(0), n), take)
-    matched = F.size(F.filter(taken, lambda by: by > 0))
-    follows = F.transform(taken, lambda by, j: by == F.when(j == 0, F.lit(1)).otherwise(F.get(taken, j - 1) + 1))
-    run = F.size(F.filter(follows, lambda f: f))
-    near = (2 * matched >= n) & (((n <= 4) & (run >= 2)) | ((2 * run >= n) & (2 * run >= m)))
+    near = _near(a, b)
     told = F.when(a.eqNullSafe(b), True).when(a.isNull() | b.isNull() | (n == 0) | (m == 0), False)
     return told.when(begins, True).when(2 * n < m, far).when(holds, True).otherwise(near)
 

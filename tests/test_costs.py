@@ -32,3 +32,10 @@ def test_counter_mode_takes_no_call_for_each_block(spark):
     assert got[-1][1] is None
     assert all(bytes(got[n][1]) == bytes(x ^ y for x, y in zip(got[n][0], stream, strict=False)) for n in sizes)
     assert "transform(" not in plan(df.select(binary.counter_mode(F.col("data"), key, vector)))
+
+
+def test_similar_words_take_no_nested_functions(spark):
+    df = spark.createDataFrame([("abcd", "abdc", True), ("sound", "round", True), ("sound", "video", False), (None, "x", False), (None, None, True), ("", "x", False), ("aab", "xaab", True)], "a string, b string, want boolean")
+    made = df.select("want", text.similar_words("a", "b").alias("got"))
+    assert all(r["got"] == r["want"] for r in made.collect())
+    assert "zip_with(" not in plan(made)
