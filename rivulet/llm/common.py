@@ -181,28 +181,46 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
+#: Bytes of a word that are hashed column by column, for all words at once; longer ones take the rest by themselves.
+_COLUMNS = 256
+
+
 def word_hashes(flat: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (A-Z lower-cased) of all rows in order, and the bounds of each row's words."""
     rows = len(offsets) - 1
     if not len(flat):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    sep = _IS_SEP[flat]
-    before = np.empty(len(flat), bool)
-    before[0], before[1:] = True, sep[:-1]
-    firsts = offsets[:-1]
-    before[firsts[firsts < len(flat)]] = True
-    starts = np.flatnonzero(before & ~sep)
+    inside = ~_IS_SEP[flat]
+    cuts = np.zeros(len(flat) + 1, bool)  # where a word can't go on from the byte before
+    cuts[offsets] = True
+    cuts[0] = cuts[-1] = True
+    cuts[:-1] |= np.append(True, ~inside[:-1])
+    ends_at = np.append(~inside[1:], True) | cuts[1:]
+    starts = np.flatnonzero(inside & cuts[:-1])
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+    ends = np.flatnonzero(inside & ends_at) + 1
     bounds = np.searchsorted(starts, offsets)
-    span = np.diff(np.append(starts, len(flat)))
-    place = np.arange(starts[0], len(flat)) - np.repeat(starts, span)
-    body = flat[starts[0] :]
-    place[sep[starts[0] :]] = 0
-    powers = np.cumprod(np.full(int(place.max()) + 1, _POWER), dtype=np.uint64)
-    terms = _BYTE[_LOWER[body] if lower else body] * powers[place]
-    terms[sep[starts[0] :]] = 0
-    return mix(np.add.reduceat(terms, starts - starts[0])), bounds
+    size = ends - starts
+    # longest words first, so that those with a byte in a column are always the first ones
+    order = np.argsort(_COLUMNS - np.minimum(size, _COLUMNS).astype(np.int16), kind="stable")
+    many = len(size) - np.cumsum(np.bincount(np.minimum(size, _COLUMNS), minlength=_COLUMNS + 1))[:-1]
+    table, at, found = (_BYTE[_LOWER] if lower else _BYTE) * _POWER, starts[order], np.zeros(len(size), np.uint64)
+    for n in many.tolist():
+        if not n:
+            break
+        found[:n] += table[flat[at[:n]]]
+        at[:n] += 1
+        table = table * _POWER
+    hashes = np.empty(len(size), np.uint64)
+    hashes[order] = found
+    long = np.flatnonzero(size > _COLUMNS)
+    if len(long):
+        powers = np.cumprod(np.full(int(size[long].max()), _POWER), dtype=np.uint64)
+        for w in long.tolist():
+            rest = flat[starts[w] + _COLUMNS : ends[w]]
+            hashes[w : w + 1] += ((_BYTE[_LOWER[rest]] if lower else _BYTE[rest]) * powers[_COLUMNS : size[w]]).sum(dtype=np.uint64)
+    return mix(hashes), bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -131,3 +131,64 @@ def test_successors_of_nodes():
         assert (children.all_values(nodes) == keys % most).all()
         ask = rng.integers(0, nodes * most, 500)
         assert ((children.find(ask // most, ask % most)[0] >= 0) == np.isin(ask, keys)).all()
+
+
+def test_counts_travel_as_runs(spark, docs):
+    """Counts are shuffled as one row for each shard and merge, not one for each n-gram, and each level of a shard is one file."""
+    import os
+
+    train = docs.where("crc32(cast(doc_id as string)) % 7 <> 2").coalesce(2)
+    model = N.train(train, 3)
+    assert len(os.listdir(model.folder)) == 3 * (len(model.firsts) - 1)
+    runs = N.counted_runs(train.select("text"), lambda: model.triples, model.triple_shard)
+    assert runs.count() <= 2 * (len(model.firsts) - 1)
+    keys, counts = N.from_runs(runs.toArrow())
+    want = Counter()
+    for r in train.collect():
+        t = ["<s>", *tokens(r["text"])]
+        want.update(zip(t, t[1:], t[2:], strict=False))
+    assert len(keys) == len(want) and sorted(counts.tolist()) == sorted(want.values())
+
+
+def test_runs_and_distinct_keys():
+    rng = np.random.default_rng(3)
+    for most in (1, 255, 256, 1 << 40, (1 << 63) - 1):
+        x = rng.integers(0, most, 1000, endpoint=True)
+        assert (N.unpacked_run(N.packed_run(x), 1000) == x).all()
+    close = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = np.concatenate([close, close ^ np.uint64(1), close])  # differ in the lowest bit alone
+    for keys, most in ((near, 1 << 64), (close, 1 << 64), (near % np.uint64(50), 50), (near[:1], 1 << 64)):
+        for got, want in zip(N.distinct(keys, most), np.unique(keys, return_inverse=True), strict=True):
+            assert (got == want).all()
+
+
+def test_elias_fano_of_uneven_sequences():
+    """Full buckets, long gaps, and numbers side by side."""
+    rng = np.random.default_rng(4)
+    dense = np.arange(5000, dtype=np.uint64)
+    for values in (dense, np.append(dense, np.uint64(1 << 50)), np.unique((2 ** rng.uniform(0, 50, 4000)).astype(np.uint64)), np.append(dense * np.uint64(3), (np.uint64(1) << np.uint64(40)) + dense)):
+        universe = int(values[-1]) + 1
+        a = N.EliasFano.arrays(values, universe)
+        ef = N.EliasFano(a["low"], a["high"], a["zeros"], a["shape"], a["ones"])
+        assert (ef.find(values) == np.arange(len(values))).all()
+        other = np.setdiff1d(np.concatenate([values + np.uint64(1), values - np.uint64(1), rng.integers(0, universe, 500, dtype=np.uint64)]), values)
+        assert (ef.find(other) == -1).all()
+        assert (ef.access(np.arange(len(values))) == values).all()
+        at, after = ef.access_two(np.arange(len(values) - 1))
+        assert (at == values[:-1]).all() and (after == values[1:]).all()
+
+
+def test_word_hashes_are_sums_over_bytes():
+    """Each word's hash against its definition, words longer than the columns too."""
+    import pyarrow as pa
+
+    from rivulet.llm import common as C
+
+    texts = ["", "Ab cD\tab", None, "x" * 255 + " " + "y" * 256 + "\n" + "z" * 257, "é日 " * 3, "w" * 1000, "a", "b"]
+    for lower in (True, False):
+        got, bounds = C.word_hashes(*C.text_bytes(pa.array(texts, pa.string())), lower)
+        words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+        assert np.diff(bounds).tolist() == [len(w) for w in words]
+        power, size = int(C._POWER), 1 << 64
+        want = [sum(int(C._BYTE[b]) * pow(power, k + 1, size) for k, b in enumerate(w.lower() if lower else w)) % size for ws in words for w in ws]
+        assert (got == C.mix(np.array(want, np.uint64))).all()
