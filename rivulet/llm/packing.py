@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import cut, documents, id_text, map_texts, small_batches
 
-#: A worker forgets the words that it has encoded beyond so many.
+#: A worker forgets the words that it has encoded beyond so many, those that haven't come up again for longest first.
 CACHE_WORDS = 100_000
 #: Share of a sequence that may stay empty without its pieces being packed once more.
 OPEN = 1 / 64
@@ -89,35 +89,40 @@ class WordIds:
 
         self.fast = bool(end) and all(t in singles or whole(t) for t in ranks)
         self.bpe = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.raw = [i.to_bytes(4, "little") if i >= 0 else None for i in self.ids]
+        # what the last texts needed, and what was known before: a word that is still in use is taken over
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_parts, self.old_words = self.parts, self.words
 
     def _part(self, part: str) -> bytes:
-        ids = [self.ids[r] for r in self.bpe.encode_single_piece(part.encode() + b"\xff")]
-        return np.array(ids, "<u4").tobytes()
+        got = self.parts.get(part)
+        if got is None:
+            got = self.old_parts.get(part)
+            if got is None:
+                raw = self.raw
+                got = b"".join([raw[r] for r in self.bpe.encode_single_piece(part.encode() + b"\xff")])
+            self.parts[part] = got
+        return got
 
     def _word(self, word: str) -> bytes:
+        if self.fast and word.isascii() and word.isalpha():  # one part
+            return self._part(word.lower())
         if not self.fast or not _PLAIN.fullmatch(word):
             return np.array(self.slow.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out = b""
-        for part in _PARTS.findall(word.lower()):
-            got = self.parts.get(part)
-            if got is None:
-                got = self.parts[part] = self._part(part)
-            out += got
-        return out
+        return b"".join([self._part(p) for p in _PARTS.findall(word.lower())])
 
     def encode(self, text: str) -> bytes:
         """The text's ids. Spaces end words for the tokenizer, so words between them are encoded each by itself."""
         words = text.split(" ")
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self._word(w)
+        if 2 * len(self.words) > CACHE_WORDS:
+            self.words, self.old_words = {}, self.words
+        if 2 * len(self.parts) > CACHE_WORDS:
+            self.parts, self.old_parts = {}, self.parts
+        known, old = self.words, self.old_words
+        for w in set(words).difference(known):
+            got = old.get(w)
+            known[w] = self._word(w) if got is None else got
         return b"".join(map(known.__getitem__, words))
 
 

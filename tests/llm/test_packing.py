@@ -81,3 +81,17 @@ def test_rule_takes_the_least_sum_of_squares():
         assert level.get(q, 0) == o
         assert cost(size - o) == min(options.values())
         level[q] = o + s
+
+
+def test_words_in_use_stay_known(monkeypatch):
+    """A word that every text has is encoded once, however many others come and are forgotten; ids stay the library's."""
+    monkeypatch.setattr(K, "CACHE_WORDS", 40)
+    words, seen, plain = K.WordIds(PATH), [], K.WordIds._word
+    monkeypatch.setattr(K.WordIds, "_word", lambda self, w: seen.append(w) or plain(self, w))
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    for i in range(200):
+        text = f"Always here, w{i} Über{i} x-{i}.y  it's日本 {chr(97 + i % 26) * (i % 9)}"
+        assert words.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert max(len(words.words) + len(words.old_words), len(words.parts) + len(words.old_parts)) <= 40 + 16
+    assert seen.count("Always") == 1 and seen.count("w7") == 1
